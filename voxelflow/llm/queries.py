@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fm_decontam import find_contamination, is_contaminated
+from .kd_sharding import kd_shards
 from .line_dedup import drop_lines
+from .packing import pack_documents
 from .simhash_dedup import simhash_groups
 from .token_counts import token_counts
 from .url_filter import filter_urls
@@ -27,11 +29,20 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -45,7 +56,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_kd_sharding": op3_kd_sharding,
     "op4_line_dedup": op4_line_dedup,
+    "op5_slack_packing": op5_slack_packing,
     "op8_url_filter": op8_url_filter,
     "op10_decontamination": op10_decontamination,
 }
