@@ -11,6 +11,7 @@ from .fm_decontam import find_contamination, is_contaminated
 from .kd_sharding import kd_shards
 from .line_dedup import drop_lines
 from .packing import pack_documents
+from .quality_forest import quality_verdicts
 from .simhash_dedup import simhash_groups
 from .token_counts import token_counts
 from .url_filter import filter_urls
@@ -43,6 +44,11 @@ def op5_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_kd_sharding": op3_kd_sharding,
     "op4_line_dedup": op4_line_dedup,
     "op5_slack_packing": op5_slack_packing,
+    "op6_quality_forest": op6_quality_forest,
     "op8_url_filter": op8_url_filter,
     "op10_decontamination": op10_decontamination,
 }
