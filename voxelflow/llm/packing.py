@@ -14,8 +14,10 @@ are not read.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -30,41 +32,78 @@ MAX_CAPACITY = 1 << 16
 
 
 class WordIds:
-    """Token ids of texts as the library gives them, with each distinct word encoded once.
+    """Token ids of texts as the library gives them, with each distinct word merged once.
 
-    Texts of settled characters are normalised and split here, and their words are encoded by the library; the library
-    encodes the rest whole (special strings, late Unicode, letters whose lower case depends on the library).
+    The vocabulary must lower-case, drop white space before it merges and mark word ends, so that a text's ids are those
+    of its runs between white space, and a run's those of its words. Texts of settled characters are lower-cased and split
+    here, and the library merges new words many at a time; texts with others (late Unicode, letters whose lower case
+    depends on the library, perhaps special strings, U+001C to U+001F, which are white space to Python alone) it encodes whole.
     """
 
-    def __init__(self, path: str, cached_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, cached_words: int = 1_000_000, cached_runs: int = 600_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.specials = [t["content"] for t in spec.get("added_tokens", [])]
-        split, *inner = spec["pre_tokenizer"]["pretokenizers"]
-        self.split = regex.compile(split["pattern"]["Regex"]).findall
-        self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": inner[0]}))
-        self.unsettled = regex.compile("[^\0-՗]|[İΣ]").search
-        self.cached_words = cached_words
-        self.known: dict[str, bytes] = {}
+        if self.ids("a \t\n B") != self.ids("a") + self.ids("b"):
+            raise ValueError(f"{path} doesn't lower-case and drop white space")
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.late = re.compile("[^\0-՗]").search
+        self.merger = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": []}))
+        vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.cached_words, self.cached_runs = cached_words, cached_runs
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        out: list = []
-        for t in texts:
-            if self.unsettled(t) or any(s in t for s in self.specials):
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+        for cache, most in ((self.words, self.cached_words), (self.runs, self.cached_runs)):
+            if len(cache) > most:
+                cache.clear()
+        rows = [self._runs(t) for t in texts]
+        runs, words = self.runs, self.words
+        new = [r for r in set().union(*filter(None, rows)) if r not in runs]
+        parts = [self._words(r) for r in new]
+        self._merge([w for w in set().union(*parts) if w not in words])
+        for r, p in zip(new, parts, strict=True):
+            runs[r] = words[p[0]] if len(p) == 1 else words[p[0]] + words[p[1]] if len(p) == 2 else b"".join([words[w] for w in p])
+        return [self.ids(t) if r is None else b"".join(map(runs.__getitem__, r)) for t, r in zip(texts, rows, strict=True)]
+
+    def _runs(self, text: str) -> list[str] | None:
+        if any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", "<|")):
+            return None
+        if not text.isascii():
+            if "İ" in text or "Σ" in text or self.late(text):
+                return None
+            text = unicodedata.normalize("NFC", text)
+        return text.lower().split()
+
+    def _words(self, run: str) -> list[str] | tuple[str, ...]:
+        """The words of a run; letters alone, or with one mark after them, need no pattern."""
+        if run.isalpha():
+            return (run,)
+        if run[-1] in ".,;:!?" and (head := run[:-1]).isalpha():
+            return head, run[-1]
+        return self.split(run)
+
+    def _merge(self, new: list[str]) -> None:
+        """Encode new words as one text; each ends with a token that marks a word's end."""
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            ids = np.array(self.merger.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                raw, stops = ids.tobytes(), (4 * stops).tolist()
+                self.words.update((w, raw[a:b]) for w, a, b in zip(part, [0, *stops[:-1]], stops, strict=True))
             else:
-                out.append(self.split(unicodedata.normalize("NFC", t).lower()))
-        if len(self.known) > self.cached_words:
-            self.known.clear()
-        new = list({w for x in out if isinstance(x, list) for w in x} - self.known.keys())
-        for word, e in zip(new, self.words.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, x)) if isinstance(x, list) else x for x in out]
+                self.words.update((w, self.ids(w)) for w in part)
 
 
 @lru_cache(2)
