@@ -219,19 +219,62 @@ def find_contamination(
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_hit (words in occurrences), spans (merged, in words) and items (their ids, sorted)."""
+    keyed = id_and_text(docs, id_col, text_col)
+    slices = phrase_slices(benchmark, window, slice_bytes, item_col, item_text_col)
+    if len(slices) == 1:
+        return _search(keyed, slices[0], shard_words)
+    keyed = keyed.withColumn("key", F.xxhash64("text"))
+    return _merge_slices([_search(keyed, p, shard_words) for p in slices]).drop("key")
+
+
+def phrase_slices(benchmark: DataFrame, window: int, slice_bytes: int, item_col: str, item_text_col: str) -> list[Phrases]:
+    """The benchmark's windows in parts of about slice_bytes of text, each small enough to send to every executor."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // slice_bytes))
-    keyed = id_and_text(docs, id_col, text_col)
-    parts = []
-    for k in range(n):
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]
-        parts.append(_search(keyed, Phrases(rows, window), shard_words, n > 1))
-    return parts[0] if n == 1 else _merge_slices(parts)
+    return [Phrases((tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()), window) for k in range(n)]
+
+
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = 2_000_000, slice_bytes: int = 16 << 20,
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of docs that `is_contaminated` doesn't hold for, with all their columns; a benchmark of one slice needs no shuffle."""
+    slices = phrase_slices(benchmark, window, slice_bytes, item_col, item_text_col)
+    if len(slices) > 1:
+        keys = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
+        dirty = _merge_slices([_search(keys, p, shard_words) for p in slices]).where(is_contaminated()).select(F.col("key").alias("__key")).distinct()
+        return docs.join(dirty, F.xxhash64(F.col(f"`{text_col}`")) == F.col("__key"), "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast(slices[0])
+
+    def scan(batches: Iterable) -> Iterator:
+        shard, held = Shard(sent.value), []
+
+        def out() -> Iterator:
+            clean = [not (hit and 20 * hit >= n) for _, n, hit, _, _ in shard.result()]
+            for batch in held:
+                yield batch.filter(pa.array(clean[: batch.num_rows], pa.bool_()))
+                del clean[: batch.num_rows]
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                held.append(part)
+                for text in part.column(text_col).cast(pa.string()).to_pylist():
+                    shard.add(None, text)
+                if shard.words >= shard_words or len(shard.docs) >= 50_000:
+                    yield from out()
+                    shard, held = Shard(sent.value), []
+        yield from out()
+
+    return docs.mapInArrow(scan, docs.schema)
 
 
-def _search(keyed: DataFrame, phrases: Phrases, shard_words: int, with_key: bool) -> DataFrame:
-    sent = keyed.sparkSession.sparkContext.broadcast(phrases)
+def _search(keyed: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
+    """A row for each of keyed (doc_id, text, perhaps key)."""
+    sent, with_key = keyed.sparkSession.sparkContext.broadcast(phrases), "key" in keyed.columns
 
     def scan(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -253,9 +296,7 @@ def _search(keyed: DataFrame, phrases: Phrases, shard_words: int, with_key: bool
         if shard.docs:
             yield out()
 
-    if with_key:
-        return keyed.withColumn("key", F.xxhash64("text")).mapInArrow(scan, SCHEMA + ", key long")
-    return keyed.mapInArrow(scan, SCHEMA)
+    return keyed.mapInArrow(scan, SCHEMA + (", key long" if with_key else ""))
 
 
 def _merge_slices(parts: list[DataFrame]) -> DataFrame:
@@ -276,7 +317,7 @@ def _merge_slices(parts: list[DataFrame]) -> DataFrame:
         every.groupBy("doc_id", "key", "n_words")
         .agg(order.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(parts)).cast("int").alias("copies"))
         .withColumn("spans", joined)
-        .select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items", F.explode(F.expr("array_repeat(1, copies)")).alias("copy"))
+        .select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items", "key", F.explode(F.expr("array_repeat(1, copies)")).alias("copy"))
         .drop("copy")
     )
 

@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .quality_forest import quality_verdicts
 from .simhash_dedup import simhash_groups
 from .token_counts import token_counts
+from .toxicity_gru import toxicity
 from .url_filter import filter_urls
 
 
@@ -53,6 +54,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_slack_packing": op5_slack_packing,
     "op6_quality_forest": op6_quality_forest,
     "op8_url_filter": op8_url_filter,
+    "op9_toxicity_gru": op9_toxicity_gru,
     "op10_decontamination": op10_decontamination,
 }
 
