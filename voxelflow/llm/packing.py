@@ -13,6 +13,7 @@ are not read.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
@@ -67,14 +68,30 @@ class WordIds:
         for cache, most in ((self.words, self.cached_words), (self.runs, self.cached_runs)):
             if len(cache) > most:
                 cache.clear()
+        collecting = gc.isenabled()
+        gc.disable()  # many short lists and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         rows = [self._runs(t) for t in texts]
         runs, words = self.runs, self.words
-        new = [r for r in set().union(*filter(None, rows)) if r not in runs]
+        found = [None if r is None else list(map(runs.get, r)) for r in rows]
+        new = list({x for r, f in zip(rows, found, strict=True) if r is not None and None in f for x, y in zip(r, f, strict=True) if y is None})
         parts = [self._words(r) for r in new]
         self._merge([w for w in set().union(*parts) if w not in words])
         for r, p in zip(new, parts, strict=True):
             runs[r] = words[p[0]] if len(p) == 1 else words[p[0]] + words[p[1]] if len(p) == 2 else b"".join([words[w] for w in p])
-        return [self.ids(t) if r is None else b"".join(map(runs.__getitem__, r)) for t, r in zip(texts, rows, strict=True)]
+        out = []
+        for t, r, f in zip(texts, rows, found, strict=True):
+            if r is None:
+                out.append(self.ids(t))
+            else:
+                out.append(b"".join([runs[x] if y is None else y for x, y in zip(r, f, strict=True)] if None in f else f))
+        return out
 
     def _runs(self, text: str) -> list[str] | None:
         if any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", "<|")):
