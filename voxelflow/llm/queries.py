@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .fm_decontam import find_contamination, is_contaminated
 from .kd_sharding import kd_shards
+from .license_scan import scan_licenses
 from .line_dedup import drop_lines
 from .packing import pack_documents
 from .quality_forest import quality_verdicts
@@ -50,6 +51,12 @@ def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    names = F.array_join(F.array_sort(F.array_distinct("matches.template")), ",")
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), names.alias("licenses"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_slack_packing": op5_slack_packing,
     "op6_quality_forest": op6_quality_forest,
+    "op7_license_scan": op7_license_scan,
     "op8_url_filter": op8_url_filter,
     "op9_toxicity_gru": op9_toxicity_gru,
     "op10_decontamination": op10_decontamination,
