@@ -19,7 +19,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import arrow_rows, id_and_text, materialize
@@ -152,28 +152,34 @@ def unpack(keep: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=n, bitorder="little").astype(bool)
 
 
-def kept_text(text: Column | str, keep: Column | str) -> Column:
+def kept_text(text: str | None, keep: bytes | None) -> str:
     """The text's kept lines, joined by newlines; null text counts as empty."""
-
-    @F.pandas_udf("string")
-    def apply(texts, keeps):  # noqa: ANN001, ANN202
-        out = []
-        for t, k in zip(texts, keeps, strict=True):
-            t = t or ""
-            if k is not None:
-                parts = t.split("\n")
-                t = "\n".join(p for p, on in zip(parts, unpack(k, len(parts)), strict=True) if on)
-            out.append(t)
-        return texts.__class__(out, dtype=object)
-
-    return apply(text, keep)
+    text = text or ""
+    if keep is None:
+        return text
+    lines = text.split("\n")
+    return "\n".join(x for x, on in zip(lines, unpack(keep, len(lines)), strict=True) if on)
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text cut to its kept lines, and n_lines and n_dropped; rows without an id keep all lines."""
-    maps = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.col("n_lines").alias("__lines"), F.col("n_dropped").alias("__dropped"), F.col("keep").alias("__keep"))
+    """docs with the text cut to its kept lines, and n_lines and n_dropped (columns so named are replaced); rows without an id keep all lines."""
+    maps = materialize(keep_bitmaps(docs, min_chars, min_docs, id_col, text_col), "keep-bitmaps")
+    maps = maps.select(*(F.col(c).alias("__" + c) for c in maps.columns))
     text = F.col(f"`{text_col}`").cast("string")
-    joined = docs.withColumn("__text_key", F.xxhash64(text)).join(maps, (F.col(f"`{id_col}`").cast("long") == F.col("__doc")) & (F.col("__text_key") == F.col("__key")), "left")
-    n_lines = F.coalesce("__lines", F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)))
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    return joined.select(*others, kept_text(text, F.col("__keep")).alias(text_col), n_lines.cast("long").alias("n_lines"), F.coalesce("__dropped", F.lit(0)).cast("long").alias("n_dropped"))
+    joined = docs.withColumn("__hash", F.xxhash64(text)).join(maps, (F.col(f"`{id_col}`").cast("long") == F.col("__doc_id")) & (F.col("__hash") == F.col("__text_key")), "left")
+    n_lines = F.coalesce("__n_lines", F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)))
+    kept = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    wide = joined.select(*(F.col(f"`{c}`") for c in kept), text.alias(text_col), n_lines.cast("long").alias("n_lines"), F.coalesce("__n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "__keep")
+
+    def cut(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts, keeps = part.column(text_col).to_pylist(), part.column("__keep").to_pylist()
+                columns = dict(zip(part.schema.names[:-1], part.columns[:-1], strict=True))
+                columns[text_col] = pa.array(map(kept_text, texts, keeps), pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return wide.mapInArrow(cut, wide.drop("__keep").schema)

@@ -41,7 +41,7 @@ class WordIds:
     depends on the library, perhaps special strings, U+001C to U+001F, which are white space to Python alone) it encodes whole.
     """
 
-    def __init__(self, path: str, cached_words: int = 1_000_000, cached_runs: int = 600_000) -> None:
+    def __init__(self, path: str, cached_words: int = 400_000, cached_runs: int = 250_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
