@@ -41,7 +41,7 @@ class WordIds:
     depends on the library, perhaps special strings, U+001C to U+001F, which are white space to Python alone) it encodes whole.
     """
 
-    def __init__(self, path: str, cached_words: int = 400_000, cached_runs: int = 250_000) -> None:
+    def __init__(self, path: str, cached_words: int = 800_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -56,18 +56,16 @@ class WordIds:
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.cached_words, self.cached_runs = cached_words, cached_runs
+        self.cached_words = cached_words
         self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        for cache, most in ((self.words, self.cached_words), (self.runs, self.cached_runs)):
-            if len(cache) > most:
-                cache.clear()
+        if len(self.words) > self.cached_words:
+            self.words.clear()
         collecting = gc.isenabled()
         gc.disable()  # many short lists and no cycles
         try:
@@ -77,21 +75,13 @@ class WordIds:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        rows = [self._runs(t) for t in texts]
-        runs, words = self.runs, self.words
-        found = [None if r is None else list(map(runs.get, r)) for r in rows]
-        new = list({x for r, f in zip(rows, found, strict=True) if r is not None and None in f for x, y in zip(r, f, strict=True) if y is None})
-        parts = [self._words(r) for r in new]
+        rows, number, words = [self._runs(t) for t in texts], {}, self.words
+        put = number.setdefault  # a block's runs are numbered, so that the large table is asked once for each
+        places = [None if r is None else [put(x, len(number)) for x in r] for r in rows]
+        parts = [self._words(r) for r in number]
         self._merge([w for w in set().union(*parts) if w not in words])
-        for r, p in zip(new, parts, strict=True):
-            runs[r] = words[p[0]] if len(p) == 1 else words[p[0]] + words[p[1]] if len(p) == 2 else b"".join([words[w] for w in p])
-        out = []
-        for t, r, f in zip(texts, rows, found, strict=True):
-            if r is None:
-                out.append(self.ids(t))
-            else:
-                out.append(b"".join([runs[x] if y is None else y for x, y in zip(r, f, strict=True)] if None in f else f))
-        return out
+        ids = [words[p[0]] if len(p) == 1 else words[p[0]] + words[p[1]] if len(p) == 2 else b"".join([words[w] for w in p]) for p in parts]
+        return [self.ids(t) if at is None else b"".join(map(ids.__getitem__, at)) for t, at in zip(texts, places, strict=True)]
 
     def _runs(self, text: str) -> list[str] | None:
         if any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", "<|")):
@@ -143,7 +133,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49
         kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
         kinds |= {"ids": pa.list_(pa.int32())} if with_ids else {}
         encode, end = word_ids(vocabulary).encode, np.array([end_id], "<u4").tobytes()
-        for block in chunks(arrow_rows(batches), 2 << 20, lambda r: len(r[1] or "")):
+        for block in chunks(arrow_rows(batches), 8 << 20, lambda r: len(r[1] or "")):
             rows = []
             for (doc_id, _), ids in zip(block, encode([t or "" for _, t in block]), strict=True):
                 ids += end
