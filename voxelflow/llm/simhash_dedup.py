@@ -120,7 +120,7 @@ def close_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 6, hot: in
     masks = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(m).alias("m")) for k, m in enumerate(block_masks(blocks, max_bits))))
     keyed = distinct.select("fp", F.explode(masks).alias("c")).select("fp", F.xxhash64("c.k", F.col("fp").bitwiseAND(F.col("c.m"))).alias("bucket"))
     crowded = materialize(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("bucket"), "hot-buckets")
-    cold = keyed.join(crowded, "bucket", "left_anti")
+    cold = keyed.join(crowded, "bucket", "left_anti").select("fp", "bucket")
 
     def compare(batches: Iterable) -> Iterator:
         import pyarrow as pa
