@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.voxel import voxel_key
+from .state import stored
 
 KEY = ("vx", "vy", "vz")
 
@@ -82,7 +83,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, size: float, id_col: str =
     """The k nearest base points of each query: (id, near, d2, rank), ties by id; exact.
 
     Candidates come from the 27 voxels around the query. What has k of them within one voxel's size is settled; the rest
-    goes round again with voxels twice as large, and after max_rounds is compared with all. same: a point may be its own.
+    goes round again with voxels four times as large, and after max_rounds is compared with all. same: a point may be its own.
     """
     left = queries.select(F.col(id_col).alias("id"), "x", "y", "z")
     right = base.select(F.col(id_col).alias("near"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
@@ -98,11 +99,12 @@ def knn(queries: DataFrame, base: DataFrame, k: int, size: float, id_col: str =
         pairs = pairs.where("id <> near") if not same else pairs
         best = pairs.select("id", "near", d2.alias("d2")).withColumn("rank", rank).where(F.col("rank") <= k)
         if r < max_rounds:
+            best = stored(best)  # a round's plan would otherwise hold those before it twice
             full = best.where((F.col("rank") == wanted) & (F.col("d2") <= size * size)).select("id")
             best = best.join(full, "id", "left_semi")
-            left = left.join(full, "id", "left_anti")
+            left = stored(left.join(full, "id", "left_anti"))
         settled = best if settled is None else settled.unionByName(best)
         if r < max_rounds and left.isEmpty():
             break
-        size *= 2
+        size *= 4
     return settled
