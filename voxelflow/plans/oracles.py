@@ -8,7 +8,7 @@ from .sensor import DIGITS, LAYERS, LEAST, RATIO, SHIFT, SIZE, THIN, TURN
 
 SYM = ("xx", "xy", "xz", "yy", "yz", "zz")
 CLOUD = """cloud AS (SELECT CAST(l_linenumber AS BIGINT) AS scan, l_orderkey AS i, l_partkey AS pk, l_suppkey AS sk,
-  (l_quantity - 25) / 7 AS x, (l_extendedprice - 50000) / 21000 AS y, (l_discount - 0.05) * 130 / 3.1 AS z,
+  (l_quantity - 25) / 7 AS x, (l_extendedprice - 50000) / 20999.3 AS y, (l_discount - 0.05) * 130 / 3.1 AS z,
   CAST(l_suppkey % 256 AS DOUBLE) AS intensity, CAST(round(l_tax * 100) AS BIGINT) * 15000000 AS offset_ns FROM lineitem)"""
 SMALL = "small AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS frame, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) * 10 AS {c}" for k, c in enumerate("xyz")) + " FROM embeddings)"
 EVENTS = "ev AS (SELECT user_id AS session, epoch_us(ts) AS us, event_type AS kind, value, event_id AS id FROM events)"

@@ -14,7 +14,7 @@ def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as points: (scan, i, pk, sk) is the key. The divisors keep averages off the decimal ties at which engines round apart."""
     return table(spark, sf_dir, "lineitem").selectExpr(
         "CAST(l_linenumber AS BIGINT) AS scan", "l_orderkey AS i", "l_partkey AS pk", "l_suppkey AS sk",
-        "(l_quantity - 25) / 7 AS x", "(l_extendedprice - 50000) / 21000 AS y", "(l_discount - 0.05) * 130 / 3.1 AS z",
+        "(l_quantity - 25) / 7 AS x", "(l_extendedprice - 50000) / 20999.3 AS y", "(l_discount - 0.05) * 130 / 3.1 AS z",
         "CAST(l_suppkey % 256 AS DOUBLE) AS intensity", "CAST(round(l_tax * 100) AS BIGINT) * 15000000 AS offset_ns",
     )
 
