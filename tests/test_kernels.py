@@ -138,3 +138,17 @@ def test_gravity_is_turned_to_z():
     turned = gravity_to_z(states)
     assert np.allclose(turned[0].g[:2], 0, atol=1e-12) and np.isclose(np.linalg.norm(turned[0].g), np.linalg.norm(states[0].g))
     assert gravity_to_z([State()])[0].g[2] == -9.8
+
+
+def test_normal_factor_gradient():
+    poses, n = [some_state(), some_state()], rng.normal(size=(4, 3))
+    n /= np.linalg.norm(n, axis=1)[:, None]
+    world = np.roll(n, 1, axis=0)
+    terms = lambda x: bundle.normal_terms(n, world, np.array([0, 0, 1, 1]), bundle.frames_of(x), np.ones(4))
+    _, g, _ = terms(poses)
+    for i in range(2):
+        for k in range(6):
+            d = np.zeros(DIM)
+            d[k] = 1e-6
+            up, down = ([x.plus(s * d) if j == i else x for j, x in enumerate(poses)] for s in (1, -1))
+            assert np.isclose((terms(up)[0] - terms(down)[0]) / 2e-6, g[6 * i + k], atol=1e-6)

@@ -133,6 +133,19 @@ def test_registered_scan_and_window_come_closer(spark):
     assert QUERIES["register_scan"](spark, sf).count() == 1
 
 
+def test_scan_against_bare_points(spark):
+    rng = np.random.default_rng(6)
+    walls = [np.insert(rng.uniform(-3, 3, (250, 2)), axis, side, axis=1) for axis in range(3) for side in (-3.0, 3.0)]
+    world = np.vstack(walls)
+    truth = State(r=exp(np.array([0.01, -0.02, 0.03])), p=np.array([0.05, -0.04, 0.02]))
+    seen = np.vstack([np.insert(rng.uniform(-2.5, 2.5, (20, 2)), axis, side, axis=1) for axis in range(3) for side in (-3.0, 3.0)])
+    body = (seen - truth.p) @ truth.r
+    frame = lambda p, names: spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], "id long, " + ", ".join(f"{n} double" for n in names))
+    found, posed, _ = estimation.register_to_points(frame(body, ("bx", "by", "bz")), frame(world, "xyz"), State(cov=np.eye(15) * 1e-2), 1.0)
+    assert posed and np.linalg.norm(found.minus(truth)[:6]) < 0.01
+    assert estimation.register_to_points(frame(body, ("bx", "by", "bz")), frame(world[:50], "xyz"), State(), 1.0)[2] == 0
+
+
 def test_plane_variance_by_sampling():
     rng = np.random.default_rng(4)
     points = rng.uniform(-1, 1, (300, 3)) * [1, 1, 0.01]

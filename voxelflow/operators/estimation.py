@@ -18,8 +18,10 @@ from ..kernels import bundle
 from ..kernels.filter import iterate
 from ..kernels.inertial import DIM, Delta, Noise, State, gravity_to_z, preintegrate
 from .clusters import MOMENTS
+from .joins import knn
 from .octree import with_path
-from .residuals import normal_equations, point_to_plane
+from .residuals import local_planes, normal_equations, point_to_plane
+from .state import stored
 
 DELTA = "session long, part long, t0 double, t1 double, dt double, values array<double>"
 _FIELDS = ("r", "p", "v", "r_bg", "p_bg", "p_ba", "v_bg", "v_ba", "cov")
@@ -141,6 +143,29 @@ def register(points: DataFrame, planes: DataFrame, prior: State, size: float, la
     return iterate(prior, match, max_iter, least_scatter=least_scatter)
 
 
+def register_to_points(points: DataFrame, world: DataFrame, prior: State, cell: float, max_iter: int = 4, least_points: int = 100, worst: float = 0.1, id_col: str = "id") -> tuple[State, bool, int]:
+    """The pose of a scan (id, bx, by, bz) against a map of bare points (id, x, y, z), before there are planes: each point's five nearest give its plane.
+
+    The map needs `least_points`; without them the prior stays, and the scan is only to be inserted. Residuals aren't
+    weighted, and the prior counts a thousandth.
+    """
+    if world.limit(least_points).count() < least_points:
+        return prior, False, 0
+
+    def match(x: State) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        body = [F.col("b" + a) for a in "xyz"]
+        moved = stored(points.withColumns({a: dot([F.lit(v) for v in row], body) + F.lit(float(t)) for a, row, t in zip("xyz", x.r.tolist(), x.p.tolist(), strict=True)}))
+        five = knn(moved, world, 5, cell, id_col, same=True).select("id", "near").join(world.select(F.col(id_col).alias("near"), "x", "y", "z"), "near")
+        length = F.sqrt(dot([F.col("n" + a) for a in "xyz"], [F.col("n" + a) for a in "xyz"]))
+        planes = local_planes(five, worst).withColumn("__len", length)
+        planes = planes.select(F.col("id").alias(id_col), *((F.col("n" + a) / F.col("__len")).alias("n" + a) for a in "xyz"), (1 / F.col("__len")).alias("__d"))
+        rows = stored(moved.join(planes, id_col).withColumns({"q" + a: -F.col("n" + a) * F.col("__d") for a in "xyz"}).withColumn("sigma", F.lit(0.9995)))
+        scatter = [F.sum(F.col("n" + s[0]) * F.col("n" + s[1])).alias("c" + s) for s in SYM]
+        return _equations(point_to_plane(rows, x.r.tolist(), x.p.tolist(), point=("bx", "by", "bz")), scatter)
+
+    return iterate(prior, match, max_iter, prior_scale=1e-3)
+
+
 def _equations(rows: DataFrame, scatter: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums = normal_equations(rows).crossJoin(rows.agg(*scatter)).first()
     if not sums["n"]:

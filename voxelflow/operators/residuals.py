@@ -24,6 +24,22 @@ def point_to_plane(matched: DataFrame, rotation: Sequence[Sequence], shift: Sequ
     return matched.withColumns(out)
 
 
+def local_planes(neighbours: DataFrame, worst: float = 0.1, least_det: float = 1e-3, key: str = "id") -> DataFrame:
+    """key, nx, ny, nz and worst: the plane n . a = -1 through each key's neighbours a (x, y, z), by 3x3 normal equations; left out if they don't fix it or one of them is off by over `worst`."""
+    s = {m: F.sum(F.col(m[0]) * F.col(m[1])) for m in SYM} | {a: F.sum(a) for a in "xyz"}
+    sums = neighbours.groupBy(key).agg(*(c.alias("s" + k) for k, c in s.items()))
+    m = [[F.col("s" + "".join(sorted(a + b))) for b in "xyz"] for a in "xyz"]
+    right = [-F.col("s" + a) for a in "xyz"]
+
+    def det(columns: list[list[Column]]) -> Column:
+        return dot(columns[0], cross(columns[1], columns[2]))
+
+    solved = sums.withColumn("__det", det(m)).where(F.abs("__det") > least_det)
+    solved = solved.select(key, *((det([right if k == i else m[k] for k in range(3)]) / F.col("__det")).alias(n) for i, n in enumerate(("nx", "ny", "nz"))))
+    off = F.abs(dot([F.col("n" + a) for a in "xyz"], [F.col(a) for a in "xyz"]) + 1)
+    return neighbours.join(solved, key).groupBy(key, "nx", "ny", "nz").agg(F.round(F.max(off), 6).alias("worst")).where(F.col("worst") <= worst)
+
+
 def normal_equations(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """h00 to h55 (upper triangle of sum w j j^T), g0 to g5 (-sum w j r), cost and n: 29 sums, combined before the shuffle."""
     w, r, j = F.col("weight"), F.col("residual"), [F.col(c) for c in JACOBIAN]

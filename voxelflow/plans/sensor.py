@@ -390,15 +390,7 @@ def knn5_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plane n . a = -1 of each point's five nearest, by normal equations; kept where all of them fit it."""
     mine = small_cloud(spark, sf_dir)
     five = joins.knn(mine, mine, 5, 1.0).select("id", "near").join(mine.select(F.col("id").alias("near"), *XYZ), "near")
-    sums = five.groupBy("id").agg(*(F.sum(F.col(a) * F.col(b)).alias("s" + a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")), *(F.sum(a).alias("s" + a) for a in "xyz"))
-    s = lambda n: F.col("s" + n)
-    det = s("xx") * (s("yy") * s("zz") - s("yz") * s("yz")) - s("xy") * (s("xy") * s("zz") - s("yz") * s("xz")) + s("xz") * (s("xy") * s("yz") - s("yy") * s("xz"))
-    nx = -(s("x") * (s("yy") * s("zz") - s("yz") * s("yz")) - s("xy") * (s("y") * s("zz") - s("yz") * s("z")) + s("xz") * (s("y") * s("yz") - s("yy") * s("z")))
-    ny = -(s("xx") * (s("y") * s("zz") - s("yz") * s("z")) - s("x") * (s("xy") * s("zz") - s("yz") * s("xz")) + s("xz") * (s("xy") * s("z") - s("y") * s("xz")))
-    nz = -(s("xx") * (s("yy") * s("z") - s("y") * s("yz")) - s("xy") * (s("xy") * s("z") - s("y") * s("xz")) + s("x") * (s("xy") * s("yz") - s("yy") * s("xz")))
-    solved = sums.withColumn("det", det).where(F.abs("det") > 1e-3).select("id", *((n / F.col("det")).alias(a) for n, a in ((nx, "nx"), (ny, "ny"), (nz, "nz"))))
-    off = F.abs(dot([F.col("n" + a) for a in "xyz"], [F.col(a) for a in "xyz"]) + 1)
-    fit = five.join(solved, "id").groupBy("id", "nx", "ny", "nz").agg(F.round(F.max(off), 6).alias("worst")).where("worst <= 0.1")
+    fit = residuals.local_planes(five)
     return fit.select("id", *(r6(F.col(n), 4).alias(n) for n in ("nx", "ny", "nz")), r6(F.col("worst"), 4).alias("worst"))
 
 
