@@ -41,7 +41,7 @@ class WordIds:
     depends on the library, perhaps special strings, U+001C to U+001F, which are white space to Python alone) it encodes whole.
     """
 
-    def __init__(self, path: str, cached_words: int = 800_000) -> None:
+    def __init__(self, path: str, cached_words: int = 500_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -133,7 +133,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49
         kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
         kinds |= {"ids": pa.list_(pa.int32())} if with_ids else {}
         encode, end = word_ids(vocabulary).encode, np.array([end_id], "<u4").tobytes()
-        for block in chunks(arrow_rows(batches), 8 << 20, lambda r: len(r[1] or "")):
+        for block in chunks(arrow_rows(batches), 4 << 20, lambda r: len(r[1] or "")):
             rows = []
             for (doc_id, _), ids in zip(block, encode([t or "" for _, t in block]), strict=True):
                 ids += end
