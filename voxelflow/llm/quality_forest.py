@@ -1,7 +1,7 @@
 """Quality rules by an isolation forest over rule statistics.
 
 Statistics are counted over every whole text in one pass. The forest is fitted on a bounded sample of labelled
-documents (`trees` x `sample` rows, the first by a hash of their id): its random splits isolate the few odd ones early. The threshold comes from every labelled document: a histogram of scores by label (aggregated
+documents (about `trees` x `sample` rows, those at the low end of a hash of their id): its random splits isolate the few odd ones early. The threshold comes from every labelled document: a histogram of scores by label (aggregated
 on the executors) gives the cut that separates best while at most `max_good_lost` of the good ones are lost. Without
 labels of both kinds there is no cut, and only the base rule decides.
 
@@ -161,7 +161,9 @@ def quality_verdicts(
     counts = materialize(rule_statistics(docs, id_col, text_col), "rule-statistics")
     known = labels.select(F.col(f"`{label_id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("good")).dropna()
     labelled = materialize(counts.join(known, "doc_id"), "labelled-statistics")
-    seen = labelled.orderBy(F.xxhash64("doc_id"), *COUNTS).limit(trees * sample).select(*COUNTS).toPandas().to_numpy()
+    share = trees * sample / max(1, labelled.count())  # of a hash's range: no task or driver sorts the labelled rows
+    picked = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
+    seen = picked.select(*COUNTS).toPandas().sort_values(COUNTS).to_numpy()
     forest = IsolationForest(features(seen), trees, sample) if len(seen) > 1 else None
     bins = F.least(F.lit(SCORE_BINS - 1), F.floor(F.col("score") * SCORE_BINS)).cast("int")
     histogram = np.zeros((2, SCORE_BINS))
