@@ -44,8 +44,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document, with its sequence and offset."""
-    return pack_documents(docs)
+    """A row for each piece of each document, with its sequence and offset; the word table is small, as workers that ran other stages are still there."""
+    return pack_documents(docs, cached_words=200_000)
 
 
 STAGES = [

@@ -41,7 +41,7 @@ class WordIds:
     depends on the library, perhaps special strings, U+001C to U+001F, which are white space to Python alone) it encodes whole.
     """
 
-    def __init__(self, path: str, cached_words: int = 500_000) -> None:
+    def __init__(self, path: str, cached_words: int = 800_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -114,26 +114,26 @@ class WordIds:
 
 
 @lru_cache(2)
-def word_ids(vocabulary: str) -> WordIds:
+def word_ids(vocabulary: str, cached_words: int = 800_000) -> WordIds:
     """One for each worker process; vocabulary is a file name of the public tokenizers, or a path."""
     import os
 
     import public_tokenizers
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordIds(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
+    return WordIds(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary), cached_words)
 
 
-def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row of PIECE for each piece of each document; with_ids adds the ids themselves."""
+def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 800_000) -> DataFrame:
+    """A row of PIECE for each piece of each document; with_ids adds the ids themselves. A worker keeps the ids of about cached_words words (200 bytes each)."""
 
     def cut(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
         kinds |= {"ids": pa.list_(pa.int32())} if with_ids else {}
-        encode, end = word_ids(vocabulary).encode, np.array([end_id], "<u4").tobytes()
-        for block in chunks(arrow_rows(batches), 4 << 20, lambda r: len(r[1] or "")):
+        encode, end = word_ids(vocabulary, cached_words).encode, np.array([end_id], "<u4").tobytes()
+        for block in chunks(arrow_rows(batches), 8 << 20, lambda r: len(r[1] or "")):
             rows = []
             for (doc_id, _), ids in zip(block, encode([t or "" for _, t in block]), strict=True):
                 ids += end
@@ -236,6 +236,6 @@ def pack(parts: DataFrame, capacity: int = 2048, per_bucket: int = 50_000) -> Da
     return ranked.select(*kept, "__rank").mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 800_000) -> DataFrame:
     """PIECE (and ids), sequence_id and offset for every piece of every document."""
-    return pack(pieces(docs, capacity, vocabulary, end_id, with_ids, id_col, text_col), capacity)
+    return pack(pieces(docs, capacity, vocabulary, end_id, with_ids, id_col, text_col, cached_words), capacity)
