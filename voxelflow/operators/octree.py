@@ -1,7 +1,8 @@
 """Octree planes level by level: a node is a row (voxel, layer, path), and a level is one aggregate.
 
 A level's points are those whose node was neither a plane nor too small above; each level aggregates moments by one
-more octant digit, so there is no recursion and at most max_layer + 1 shuffles of what is left.
+more octant digit, so there is no recursion and at most max_layer + 1 shuffles of what is left. A level's nodes are stored,
+since the next level asks them which points go on; otherwise each level would aggregate those above it again.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from ..functions.eigen import with_eigenvalues
 from ..functions.vectors import SYM
 from ..functions.voxel import octant_digits, voxel_centre, voxel_key
 from .clusters import moments, with_covariance
+from .state import stored
 
 KEY = ["vx", "vy", "vz"]
 
@@ -47,10 +49,11 @@ def nodes(
         splits = enough & ~F.col("is_plane") & (F.lit(layer) < max_layer)
         if split_points:
             splits = splits & (F.col("n") >= split_points[layer])
-        leaf = level.where(~splits)
+        level = stored(level.withColumn("splits", splits)) if max_layer else level.withColumn("splits", splits)
+        leaf = level.where("NOT splits").drop("splits")
         done = leaf if done is None else done.unionByName(leaf)
         if layer < max_layer:
-            todo = todo.join(level.where(splits).select(*by), by, "left_semi")
+            todo = todo.join(level.where("splits").select(*by), by, "left_semi")
     return done.select(*keys, *KEY, "layer", "path", "n", "mx", "my", "mz", *("c" + s for s in SYM), "l0", "l1", "l2", "is_plane")
 
 
