@@ -38,12 +38,12 @@ def velodyne(raw: DataFrame, every: int = 1, blind: float = 0.0) -> DataFrame:
 
 
 def velodyne_untimed(raw: DataFrame, every: int = 1, blind: float = 0.0) -> DataFrame:
-    """Times from the yaw since the first point, unwrapped in order; a scan is one sensor turn, so a task holds little."""
+    """Times from the yaw since the first point, unwrapped in order (of i, then position); a scan is one sensor turn, so a task holds little."""
 
     def unwrap(pdf):  # noqa: ANN001, ANN202
         import numpy as np
 
-        pdf = pdf.sort_values("i")
+        pdf = pdf.sort_values(["i", "x", "y", "z"])
         keep, times, start, last, turned, cool = [], [], None, 0.0, 0.0, 0
         for row, (i, x, y, z) in enumerate(zip(pdf.i, pdf.x, pdf.y, pdf.z, strict=True)):
             if abs(x) < MIN_X:
