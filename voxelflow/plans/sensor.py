@@ -160,8 +160,7 @@ def voxel_downsample_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def adaptive_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine = cloud(spark, sf_dir).where("scan < 4 OR i % 10 = 0")
-    out = downsample.adaptive(mine, 0.5, 330, ["i", "pk", "sk"])
+    out = downsample.adaptive(cloud(spark, sf_dir), 0.5, 330, ["i", "pk", "sk"])
     return rounded(out, ["scan", "vx", "vy", "vz", "n", "intensity", "size"], XYZ)
 
 
