@@ -55,18 +55,18 @@ def test_untimed_scans_are_decoded_whole(spark, spread):
     assert [r[5] for r in got] == pytest.approx([r[5] for r in want], abs=1e-6)
 
 
-def same_as_uncut_sql(spark, name, *cuts):
+def same_as_uncut_sql(spark, name, *cuts, sf=SF):
     """The query gives the rows of its SQL without the given filters (which the SQL may or may not hold)."""
     sql = ORACLES[name]
     for cut in cuts:
         sql = sql.replace(cut, "")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{sf}/lineitem.parquet'")
     found = con.execute(sql)
     names = [c[0] for c in found.description]
     tidy = lambda rows: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
     want = tidy(found.fetchall())
-    assert tidy(map(tuple, QUERIES[name](spark, SF).select(*names).collect())) == want
+    assert tidy(map(tuple, QUERIES[name](spark, sf).select(*names).collect())) == want
     return [dict(zip(names, r, strict=True)) for r in want]
 
 
@@ -79,3 +79,8 @@ def test_adaptive_halves_the_size_of_scans_with_few_voxels(spark):
     points = [(1, i, 0.1 + 0.2 * i, 0.1, 0.1, float(i)) for i in range(4)] + [(2, i, 0.25 + 0.5 * i, 0.1, 0.1, float(i)) for i in range(3)]
     out = downsample.adaptive(spark.createDataFrame(points, "scan long, i long, x double, y double, z double, intensity double"), 0.5, 3, ["i"])
     assert sorted((r["scan"], r["vx"], r["n"], r["size"]) for r in out.collect()) == [(1, 0, 1, 0.25), (1, 1, 1, 0.25), (1, 2, 2, 0.25), (2, 0, 1, 0.5), (2, 1, 1, 0.5), (2, 2, 1, 0.5)]
+
+
+def test_plane_changelog_fits_whole_scans(spark):
+    rows = same_as_uncut_sql(spark, "plane_changelog", " AND pk % 2 = 0", sf="/root/testdata/sf0.01")
+    assert {r["op"] for r in rows} == {"ADD", "DELETE", "MODIFY"}

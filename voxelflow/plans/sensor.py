@@ -407,7 +407,7 @@ def ttl_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plane_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = cloud(spark, sf_dir)
     flat = lambda df: octree.nodes(df, 0.5, 0, THIN, RATIO, [5], digits=DIGITS).where("is_plane").select("vx", "vy", "vz", "n")
-    return lifecycle.changelog(flat(every.where("scan = 1 AND pk % 2 = 0")), flat(every.where("scan = 2 AND pk % 2 = 0")), ["vx", "vy", "vz"], ["n"])
+    return lifecycle.changelog(flat(every.where("scan = 1")), flat(every.where("scan = 2")), ["vx", "vy", "vz"], ["n"])
 
 
 @query
