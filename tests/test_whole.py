@@ -84,3 +84,8 @@ def test_adaptive_halves_the_size_of_scans_with_few_voxels(spark):
 def test_plane_changelog_fits_whole_scans(spark):
     rows = same_as_uncut_sql(spark, "plane_changelog", " AND pk % 2 = 0", sf="/root/testdata/sf0.01")
     assert {r["op"] for r in rows} == {"ADD", "DELETE", "MODIFY"}
+
+
+def test_union_downsample_joins_all_scans(spark):
+    rows = same_as_uncut_sql(spark, "union_downsample", " WHERE scan <= 4")
+    assert sum(r["n"] for r in rows) == 6000

@@ -167,7 +167,7 @@ def adaptive_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def union_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = cloud(spark, sf_dir)
-    return rounded(downsample.union_means(every.where("scan <= 3"), every.where("scan = 4"), 0.5, ["i", "scan", "pk", "sk"]), ["vx", "vy", "vz", "n", "intensity"], XYZ)
+    return rounded(downsample.union_means(every.where("scan <> 4"), every.where("scan = 4"), 0.5, ["i", "scan", "pk", "sk"]), ["vx", "vy", "vz", "n", "intensity"], XYZ)
 
 
 @query
