@@ -277,6 +277,13 @@ def test_license_bands_find_edited_templates():
         assert {m[0] for m in found} == ({name} if name else set())
 
 
+def test_license_matches_do_not_hang_on_the_block():
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES, 0.8, 1e-4)
+    text = "work is licensed under the GNU General Public License, version 3."
+    alone, among = index.scan([text])[0], index.scan(["x y z " * 20, text, "x y z " * 20])[1]
+    assert alone == among == [("GPL-3.0", 0, 11, 7 / 8)]
+
+
 @pytest.mark.parametrize("url, parts", [(None, ("", "")), ("no scheme", ("", "")), ("http://A.Com/En/7?x#y", ("a.com", "/En/7")), ("x://h#f/g", ("h", "")), ("a://b://c/d", ("b:", "//c/d")), ("http://É.org/ES", ("É.org", "/ES")), ("://", ("", ""))])
 def test_url_parts(url, parts):
     assert url_filter.split_url(url) == parts

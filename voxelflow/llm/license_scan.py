@@ -90,8 +90,7 @@ class TemplateIndex:
     def candidates(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(window start, shingles, step, template number) of windows that share a band with a template of that many shingles."""
         for width, group in self.classes.items():
-            if hashes.size < width:
-                continue
+            hashes = np.append(hashes, np.full(max(0, width - hashes.size), _FAR))  # a short text may still hold enough of the template
             step, found = max(1, width // 4), set()
             for salt, minima, table in zip(self.salts, group["minima"], group["table"], strict=False):
                 m = sliding_min(np.where(hashes == _FAR, _FAR, _mix(hashes * salt)), width)
