@@ -13,7 +13,7 @@ from voxelflow.llm.fm_decontam import without_contaminated
 from voxelflow.llm.line_dedup import drop_lines
 from voxelflow.llm.packing import pack_documents
 from voxelflow.llm.shared import materialize
-from voxelflow.llm.simhash_dedup import simhash_groups
+from voxelflow.llm.simhash_dedup import fingerprint_of, rooted_groups
 from voxelflow.llm.toxicity_gru import THRESHOLD, fit_toxicity, toxicity_score
 
 
@@ -30,12 +30,17 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group (of rows that share it, the least row); documents without an id stay."""
+    """The row with the least id of each near-duplicate group (of those that share it, the one with the least fingerprint, then the least row); documents without an id stay."""
     named = docs.where("doc_id IS NOT NULL")
-    least = simhash_groups(named).where("doc_id = component_id").select("doc_id").distinct()
+    groups = rooted_groups(named)
+    ids = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.expr("doc_id = component_id")).alias("least")).where("least")
+    single = named.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    # only rows that share an id are told apart by their fingerprints
+    least = groups.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("fp").alias("__fp")).select("doc_id", "__fp")
+    shared = named.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").withColumn("__fp", fingerprint_of(F.col("text"))).join(least, ["doc_id", "__fp"], "left_semi")
     rest = [c for c in docs.columns if c != "doc_id"]
-    kept = named.join(least, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
-    return kept.select("doc_id", *(F.col("row")[c].alias(c) for c in rest)).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    one = shared.groupBy("doc_id", "__fp").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *(F.col("row")[c].alias(c) for c in rest))
+    return single.select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -277,6 +277,24 @@ def test_license_bands_find_edited_templates():
         assert {m[0] for m in found} == ({name} if name else set())
 
 
+def test_near_dedup_keeps_a_row_of_each_group_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    first, second, third = ("".join(f"{w}{k} " for w in WORDS) for k in range(3))
+    rows_in = [(1, first), (2, first), (2, second), (3, third), (3, second), (4, third), (5, second + "more"), (7, first + "x"), (7, third + "y"), (None, first)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows_in], "doc_id long, text string, lang string")
+    comp = {(r["doc_id"], r["fp"]): r["root"] for r in simhash_dedup.rooted_groups(docs.where("doc_id IS NOT NULL")).collect()}
+    kept = rows(corpus_pipeline.drop_near_copies(spark, docs, ""), "doc_id", "text")
+    signed = lambda t: (slow_print(t) ^ 1 << 63) - (1 << 63)
+    named = [(i, t) for i, t in rows_in if i is not None]
+    want = {}
+    for i, t in named:
+        root = comp[i, signed(t)]
+        want[root] = min(want.get(root, (i, signed(t), t)), (i, signed(t), t))
+    assert kept == sorted([(i, t) for i, _, t in want.values()] + [(None, first)], key=repr)
+    assert {(1, first), (2, second), (3, third)} <= set(kept)
+
+
 def test_license_matches_do_not_hang_on_the_block():
     index = license_scan.TemplateIndex(license_scan.TEMPLATES, 0.8, 1e-4)
     text = "work is licensed under the GNU General Public License, version 3."

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -161,11 +161,28 @@ def hot_links(members: DataFrame, max_bits: int) -> DataFrame:
     return spread.join(least, "at").where(F.col("fp") != F.col("b")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= max_bits).select(F.col("fp").alias("a"), "b").distinct()
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: int = 6, hot: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (the least id reachable) of every row of docs."""
+def rooted_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: int = 6, hot: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, root (a fingerprint that names the component) and component_id (the least id reachable) of every row of docs; two components share a component_id where rows share that id."""
     prints = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = connected_components(close_links(distinct.select("fp"), max_bits, blocks, hot))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     group = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.join(placed.join(group, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(placed.join(group, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: int = 6, hot: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp and component_id (the least id reachable) of every row of docs."""
+    return rooted_groups(docs, shingle, max_bits, blocks, hot, id_col, text_col).select("doc_id", "fp", "component_id")
+
+
+def fingerprint_of(text: Column, shingle: int = 4) -> Column:
+    """The fingerprint of a text column, as `fingerprints` gives it."""
+
+    @F.arrow_udf("long")
+    def scan(texts):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        return pa.array([_signed(fingerprint(t.as_py(), shingle)) for t in texts], pa.int64())
+
+    return scan(text)
