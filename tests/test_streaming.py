@@ -50,3 +50,12 @@ def test_voxel_map_stream_keeps_window_and_fixed_points(spark, tmp_path):
     last = max(out, key=lambda r: r["frame"])
     assert (last["n_fixed"], last["n_window"], last["active"]) == (60, 90, True)
     assert last["l0"] == pytest.approx(1.0, abs=0.5)
+
+
+def test_long_scans_are_refused_or_whole(spark):
+    frame = lambda rows, names: spark.createDataFrame(rows, "k long, " + ", ".join(f"{n} string" for n in names)).select("k", *(F.col(n).cast("timestamp").alias(n) for n in names))
+    scans = frame([(1, "2024-01-01 00:00:00", "2024-01-01 02:00:00")], ["b", "e"])
+    samples = frame([(1, "2024-01-01 00:30:00"), (1, "2024-01-01 01:30:00")], ["ts"])
+    with pytest.raises(Exception, match="longer than 1 hour"):
+        slice_stream(scans, samples, ["k"], "b", "e", "ts").collect()
+    assert slice_stream(scans, samples, ["k"], "b", "e", "ts", longest="2 hours").count() == 2

@@ -19,12 +19,17 @@ def as_event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def slice_stream(scans: DataFrame, samples: DataFrame, keys: Sequence[str], begin: str, end: str, time: str, delay: str = "10 seconds") -> DataFrame:
-    """samples with the scan whose (begin, end] they fall in, as an inner join of two streams; watermarks bound the state, and a scan is through once the samples' watermark has passed its end."""
-    left = as_event_time(as_event_time(scans, begin), end).withWatermark(end, delay).alias("s")
+def slice_stream(scans: DataFrame, samples: DataFrame, keys: Sequence[str], begin: str, end: str, time: str, delay: str = "10 seconds", longest: str = "1 hour") -> DataFrame:
+    """samples with the scan whose (begin, end] they fall in, as an inner join of two streams; watermarks bound the state, and a scan is through once the samples' watermark has passed its end.
+
+    Samples are kept for scans of up to `longest`; a longer scan stops the query with an error, as its first samples may be gone.
+    """
+    known = as_event_time(as_event_time(scans, begin), end)
+    short = F.col(begin) >= F.col(end) - F.expr(f"INTERVAL {longest}")
+    left = known.where(F.when(short | short.isNull(), True).otherwise(F.raise_error(F.lit(f"a scan is longer than {longest}")).cast("boolean"))).withWatermark(end, delay).alias("s")
     right = as_event_time(samples, time).withWatermark(time, delay).alias("m")
     same = [F.col(f"s.{k}") == F.col(f"m.{k}") for k in keys]
-    inside = (F.col(f"m.{time}") > F.col(f"s.{begin}")) & (F.col(f"m.{time}") <= F.col(f"s.{end}")) & (F.col(f"m.{time}") >= F.col(f"s.{end}") - F.expr("INTERVAL 1 HOUR"))
+    inside = (F.col(f"m.{time}") > F.col(f"s.{begin}")) & (F.col(f"m.{time}") <= F.col(f"s.{end}")) & (F.col(f"m.{time}") >= F.col(f"s.{end}") - F.expr(f"INTERVAL {longest}"))
     on = inside
     for s in same:
         on = on & s
