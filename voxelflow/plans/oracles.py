@@ -210,10 +210,10 @@ q AS (SELECT id, CASE WHEN th < 1e-9 THEN 0.0 ELSE sin(th / 2) / (th / 0.2) END
 SELECT id, {', '.join(f"{r(f'CASE WHEN c < 0 THEN -1 ELSE 1 END * f * {a}')} AS q{a}" for a in 'xyz')}, {r('abs(c)')} AS qw FROM q""",
     "voxel_downsample": f"WITH {CLOUD} {_downsampled('cloud', 0.25)}",
     "voxel_downsample_cov": f"WITH {CLOUD}, {with_variance('v', 'cloud')} SELECT {_V}, count(*) AS n, " + ", ".join(f"{r(f'avg({c})', 8)} AS {c}" for c in ("x", "y", "z", *("v" + s for s in SYM))) + f" FROM (SELECT *, {keys(0.5)} FROM v) GROUP BY {_V}",
-    "adaptive_downsample": f"""WITH {CLOUD}, mine AS (SELECT * FROM cloud WHERE scan < 4 OR i % 10 = 0),
+    "adaptive_downsample": f"""WITH {CLOUD}, mine AS (SELECT * FROM cloud),
 coarse AS ({_downsampled('mine', 0.5, 'scan, ', 'i, pk, sk')}), fine AS ({_downsampled('mine', 0.25, 'scan, ', 'i, pk, sk')}), c AS (SELECT scan, count(*) AS cells FROM coarse GROUP BY scan)
 SELECT coarse.*, CAST(0.5 AS DOUBLE) AS size FROM coarse JOIN c USING (scan) WHERE cells >= 330 UNION ALL SELECT fine.*, CAST(0.25 AS DOUBLE) AS size FROM fine JOIN c USING (scan) WHERE cells < 330""",
-    "union_downsample": f"WITH {CLOUD} {_downsampled('(SELECT * FROM cloud WHERE scan <= 4)', 0.5)}",
+    "union_downsample": f"WITH {CLOUD} {_downsampled('cloud', 0.5)}",
     "voxel_representative": f"""WITH {SMALL}, {keyed('k', 'small', 1.0)}, m AS (SELECT {_V}, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, count(*) AS n FROM k GROUP BY {_V}),
 d AS (SELECT k.*, n, round((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz), 12) AS d2 FROM k JOIN m USING ({_V}))
 SELECT {_V}, n, id, {_r_list('xyz')} FROM d QUALIFY row_number() OVER (PARTITION BY {_V} ORDER BY d2, id) = 1""",
@@ -268,7 +268,7 @@ v AS (SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy *
 n AS (SELECT id, -(a * (yy * zz - yz * yz) + b * (xz * yz - xy * zz) + c * (xy * yz - xz * yy)) / det AS nx, -(a * (xz * yz - xy * zz) + b * (xx * zz - xz * xz) + c * (xy * xz - xx * yz)) / det AS ny, -(a * (xy * yz - xz * yy) + b * (xy * xz - xx * yz) + c * (xx * yy - xy * xy)) / det AS nz FROM v WHERE abs(det) > 1e-3)
 SELECT id, {', '.join(f"{r(f'any_value({n})', 4)} AS {n}" for n in ('nx', 'ny', 'nz'))}, {r('round(max(abs(nx * x + ny * y + nz * z + 1)), 6)', 4)} AS worst FROM f JOIN n USING (id) GROUP BY id HAVING round(max(abs(nx * x + ny * y + nz * z + 1)), 6) <= 0.1""",
     "ttl_evict": f"WITH {CLOUD}, s AS (SELECT {_V}, CAST(max(pk) AS DOUBLE) AS travelled FROM (SELECT pk, {keys(0.1)} FROM cloud) GROUP BY {_V}) SELECT * FROM s WHERE (SELECT max(pk) FROM cloud) - travelled < 700",
-    "plane_changelog": f"""WITH {CLOUD}, {octree('a', '(SELECT x, y, z FROM cloud WHERE scan = 1 AND pk % 2 = 0)', 0.5, 0, THIN, RATIO, [5])}, {octree('b', '(SELECT x, y, z FROM cloud WHERE scan = 2 AND pk % 2 = 0)', 0.5, 0, THIN, RATIO, [5])},
+    "plane_changelog": f"""WITH {CLOUD}, {octree('a', '(SELECT x, y, z FROM cloud WHERE scan = 1)', 0.5, 0, THIN, RATIO, [5])}, {octree('b', '(SELECT x, y, z FROM cloud WHERE scan = 2)', 0.5, 0, THIN, RATIO, [5])},
 o AS (SELECT {_V}, n AS was FROM a WHERE is_plane), w AS (SELECT {_V}, n FROM b WHERE is_plane)
 SELECT {_V}, CASE WHEN was IS NULL THEN 'ADD' WHEN n IS NULL THEN 'DELETE' ELSE 'MODIFY' END AS op, n FROM o FULL JOIN w USING ({_V}) WHERE was IS NULL OR n IS NULL OR n <> was""",
     "tum_export": f"WITH {EVENTS} SELECT id, printf('%.9f %.9f %.9f %.9f %.9f %.9f %.9f %.9f', (us - 1704067200000000) / 1e6, value, value / 7, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE) AS line FROM ev",

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POINT = "scan_id long, i long, x double, y double, z double, intensity double, t_off double"
-#: Degrees that an untimed spinning sensor turns in a second, and least |x| of its points.
-OMEGA, MIN_X, COOL = 3610.0, 0.1, 1000
+#: Fixed values of untimed scans: degrees that the sensor turns in a second, least |x| of its points, rises taken as noise after a turn.
+OMEGA, MIN_X, HOLD_OFF = 3610.0, 0.1, 1000
 
 
 def _kept(every: int, blind: float, flat: bool = False) -> Column:
@@ -37,37 +38,42 @@ def velodyne(raw: DataFrame, every: int = 1, blind: float = 0.0) -> DataFrame:
     return _point(timed.where(_kept(every, blind)), 0.0, F.col("time"))
 
 
+def unwrapped(yaw: np.ndarray) -> np.ndarray:
+    """Yaws (degrees in [-180, 180]) of a sensor that turns clockwise, as one falling line: a turn is taken off from each rise of over 180 on.
+
+    The offset can change only where neighbours are half a turn or more apart. A rise begins a new turn; for HOLD_OFF more
+    rises after it (points that come out of order) a rise is taken as noise, as a fall always is: the yaw is then one turn up
+    until the next rise.
+    """
+    step = np.diff(yaw)
+    at = np.flatnonzero(np.abs(step) >= 180)
+    offset, turns, up, hold = [0], 0, False, 0
+    for d in step[at].tolist():
+        if up:
+            up = d < 0
+        elif d > 180 and not hold:
+            turns, hold = turns + 1, HOLD_OFF
+        elif abs(d) > 180:
+            up, hold = True, hold - (d > 0)
+        offset.append(up - turns)
+    return yaw + 360.0 * np.repeat(offset, np.diff([0, *(at + 1), yaw.size]))
+
+
 def velodyne_untimed(raw: DataFrame, every: int = 1, blind: float = 0.0) -> DataFrame:
-    """Times from the yaw since the first point, unwrapped in order (of i, then position); a scan is one sensor turn, so a task holds little."""
-
-    def unwrap(pdf):  # noqa: ANN001, ANN202
-        import numpy as np
-
-        pdf = pdf.sort_values(["i", "x", "y", "z"])
-        keep, times, start, last, turned, cool = [], [], None, 0.0, 0.0, 0
-        for row, (i, x, y, z) in enumerate(zip(pdf.i, pdf.x, pdf.y, pdf.z, strict=True)):
-            if abs(x) < MIN_X:
-                continue
-            yaw = np.degrees(np.arctan2(y, x)) - turned
-            if start is None:
-                start = last = yaw
-            if x * x + y * y + z * z < blind * blind:
-                continue
-            if yaw - last > 180:
-                if cool <= 0:
-                    turned, yaw, cool = turned + 360, yaw - 360, COOL
-                else:
-                    cool -= 1
-            if abs(yaw - last) > 180:
-                yaw += 360
-            t, last = (start - yaw) / OMEGA, yaw
-            if 0 <= t < 0.1 and i % every == 0:
-                keep.append(row)
-                times.append(t)
-        out = pdf.iloc[keep][["scan_id", "i", "x", "y", "z"]].astype({"x": float, "y": float, "z": float})
-        return out.assign(intensity=0.0, t_off=times)
-
-    return raw.select("scan_id", "i", "x", "y", "z").groupBy("scan_id").applyInPandas(unwrap, POINT)
+    """Times from the yaw since the scan's first point (by i, then position) with |x| of MIN_X or more; a scan is one sensor turn, so a task holds little. Times out of [0, 0.1) are dropped."""
+
+    def times(pdf):  # noqa: ANN001, ANN202
+        pdf = pdf[pdf.x.abs() >= MIN_X].sort_values(["i", "x", "y", "z"])
+        far = (pdf[["x", "y", "z"]].to_numpy(float) ** 2).sum(axis=1) >= blind * blind
+        used = far | (np.arange(len(pdf)) == 0)  # the first point sets the zero, however near it is
+        pdf, far = pdf[used], far[used]
+        if len(pdf):
+            yaw = unwrapped(np.degrees(np.arctan2(pdf.y, pdf.x).to_numpy(float)))
+            pdf = pdf.assign(intensity=0.0, t_off=(yaw[0] - yaw) / OMEGA)
+            return pdf[far & pdf.t_off.between(0, 0.1, inclusive="left") & (pdf.i % every == 0)].astype({c: float for c in "xyz"})
+        return pdf.assign(intensity=0.0, t_off=0.0).astype({c: float for c in "xyz"})
+
+    return raw.select("scan_id", "i", "x", "y", "z").groupBy("scan_id").applyInPandas(times, POINT)
 
 
 def ouster(raw: DataFrame, every: int = 1, blind: float = 0.0) -> DataFrame:
@@ -116,8 +122,6 @@ def trim_late(points: DataFrame, cut: float = 0.11) -> DataFrame:
 
 def bytes_to_numbers(column: str, kind: str = "float", big_endian: bool = False) -> Column:
     """The number that four (float) or eight (double) raw bytes hold."""
-    import numpy as np
-
     dtype = np.dtype({"float": "f4", "double": "f8"}[kind]).newbyteorder(">" if big_endian else "<")
 
     @F.pandas_udf("double")
