@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxelflow.llm import fm_decontam, kd_sharding, license_scan, line_dedup, packing, quality_forest, simhash_dedup, token_counts, toxicity_gru, url_filter
+from voxelflow.llm import fm_decontam, kd_sharding, license_scan, line_dedup, packing, quality_forest, shared, simhash_dedup, token_counts, toxicity_gru, url_filter
 
 LINE = "This very common line stands in many documents."
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -20,7 +21,7 @@ ITEM = " ".join(WORDS)
 TEXTS = [
     (1, None), (2, ""), (3, "   \n\t"), (4, "one"), (5, "one two three"), (6, f"{LINE}\nunlike 6\n{LINE}"), (7, f"  {LINE.upper()}\r\nunlike 7"), (8, f"unlike 8\n{LINE}\n"),
     (9, ITEM), (10, "before " + ITEM + " after " + "x y z " * 200), (11, "a " * 60_000), (12, "A\x85b\u2003c\x1cd İΣ ſ <|endoftext|> é"), (13, "same text here with several words in it"),
-    (14, "same text here with several words in it"), (14, "same text here with several words in it"), (15, "Released under the MIT License."), (16, "x" * 50_000), (None, "no id " + LINE), (None, None),
+    (14, "same text here with several words in it"), (14, "same text here with several words in it"), (15, "Released under the MIT License."), (16, "x" * 50_000), (None, "no id " + LINE), (None, None), (17, f"{LINE}\nunlike 17"), (17, f"{LINE}\nunlike 17"), (17, f"{LINE}\nother 17"),
 ]
 
 
@@ -47,15 +48,16 @@ def test_token_counts(docs):
     assert rows(token_counts.token_counts(docs), "doc_id", "n_bytes", "n_tokens") == expect(lambda t: (len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)))
 
 
-def slow_print(t):
+def slow_print(t, shingle=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", asc_lower(t))
     if not w:
         return 0
-    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in ([" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or [" ".join(w)])]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in ([" ".join(w[i : i + shingle]) for i in range(len(w) - shingle + 1)] or [" ".join(w)])]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def slow_components(prints):
+def slow_components(prints, max_bits=(4,)):
+    """The first of each component of prints (tuples of a fingerprint for each of max_bits)."""
     left, out = dict.fromkeys(prints), {}
     for start in left:
         if start in out:
@@ -64,41 +66,94 @@ def slow_components(prints):
         while queue:
             u = queue.pop()
             for v in left:
-                if v not in out and (u ^ v).bit_count() <= 4:
+                if v not in out and all((x ^ y).bit_count() <= most for x, y, most in zip(u, v, max_bits, strict=True)):
                     out[v] = start
                     queue.append(v)
     return out
 
 
-@pytest.mark.parametrize("hot", [8192, 1])
-def test_simhash(docs, hot):
-    prints = [(i, slow_print(t)) for i, t in TEXTS]
-    comp = slow_components([p for _, p in prints])
+signed = lambda p: p - (1 << 64) if p >> 63 else p
+
+
+@pytest.mark.parametrize("by", [simhash_dedup.FOUR_BITS, replace(simhash_dedup.FOUR_BITS, hot=1), simhash_dedup.SIMILAR, replace(simhash_dedup.SIMILAR, hot=1)])
+def test_simhash(docs, by):
+    prints = [(i, tuple(slow_print(t, n) for n in by.shingles)) for i, t in TEXTS]
+    comp = slow_components([p for _, p in prints], by.max_bits)
     least = {}
     for i, p in prints:
         if i is not None:
             least[comp[p]] = min(i, least.get(comp[p], i))
-    expected = sorted(((i, p - (1 << 64) if p >> 63 else p, least.get(comp[p])) for i, p in prints), key=repr)
-    assert rows(simhash_dedup.simhash_groups(docs, hot=hot), "doc_id", "fp", "component_id") == expected
+    expected = sorted(((i, *map(signed, p), least.get(comp[p])) for i, p in prints), key=repr)
+    assert rows(simhash_dedup.simhash_groups(docs, by), "doc_id", *["fp", "fp2"][: len(by.shingles)], "component_id") == expected
 
 
-@pytest.mark.parametrize("hot", [8192, 3])
-def test_near_fingerprints_connect(spark, hot):
+@pytest.mark.parametrize("by", [simhash_dedup.FOUR_BITS, replace(simhash_dedup.FOUR_BITS, hot=3), simhash_dedup.SIMILAR, replace(simhash_dedup.SIMILAR, hot=3)])
+def test_near_fingerprints_connect(spark, by):
     rng = np.random.default_rng(1)
-    prints = set()
-    for base in rng.integers(0, 2**63, 4):
+    prints, spread = set(), [n + 3 for n in by.max_bits]
+    for base in rng.integers(0, 2**63, (4, len(by.max_bits))).tolist():
         for _ in range(60):
-            v = int(base)
-            for b in rng.integers(0, 64, rng.integers(0, 6)):
-                v ^= 1 << int(b)
-            prints.add(v)
-    signed = lambda p: p - (1 << 64) if p >> 63 else p
+            prints.add(tuple(x ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, n), replace=False)) for x, n in zip(base, spread, strict=True)))
     from voxelflow.llm.components import connected_components
 
-    got = {r["node"]: r["root"] for r in connected_components(simhash_dedup.close_links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"), hot=hot)).collect()}
-    want = slow_components(list(prints))
-    pairs = {(got.get(signed(p), signed(p)), want[p]) for p in prints}
-    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    names = ["fp", "fp2"][: len(by.max_bits)]
+    df = spark.createDataFrame([tuple(map(signed, p)) for p in prints], ", ".join(f"{n} long" for n in names))
+    key = lambda x: tuple(x) if isinstance(x, tuple) else (x,)
+    got = {key(r["node"]): key(r["root"]) for r in connected_components(simhash_dedup.close_links(df, by)).collect()}
+    want = slow_components(list(prints), by.max_bits)
+    pairs = {(got.get(s := tuple(map(signed, p)), s), want[p]) for p in prints}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) > 3
+
+
+def test_blocks_meet_for_every_close_pair():
+    rng = np.random.default_rng(4)
+    for by in (simhash_dedup.FOUR_BITS, simhash_dedup.SIMILAR):
+        for _ in range(300):
+            a = int(rng.integers(0, 2**63))
+            b = a ^ sum(1 << int(k) for k in rng.choice(64, by.max_bits[0], replace=False))
+            buckets = [{(k, signed(x % (1 << 64)) & m ^ flip) for k, m, flip in by.buckets} for x in (a, b)]
+            assert len(buckets[0]) == len(by.buckets) and buckets[0] & buckets[1]
+    for bad in (lambda: simhash_dedup.equal_blocks(4, 4), lambda: simhash_dedup.near_blocks(3, 1, 9)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_similar_texts_link_and_others_do_not(spark):
+    """Texts with a similarity of 0.8 or more over five words are found nine times of ten; those under 0.4 never link."""
+    rng = np.random.default_rng(8)
+    vocab = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(3000)]
+    p = 1 / np.arange(1, 3001)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows_in, near, far = [], [], []
+    for g in range(150):
+        words = rng.choice(vocab, rng.integers(60, 600), p=p / p.sum()).tolist()
+        other = list(words)
+        for k in rng.choice(len(words), max(1, len(words) // [70, 6][g % 2]), replace=False):
+            other[k] = str(rng.choice(vocab))
+        share = len(shingles(words) & shingles(other)) / len(shingles(words) | shingles(other))
+        rows_in += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+        (near if share >= 0.8 else far if share < 0.4 else []).append(g)
+    comp = {r["doc_id"]: r["component_id"] for r in simhash_dedup.simhash_groups(spark.createDataFrame(rows_in, "doc_id long, text string"), simhash_dedup.SIMILAR).collect()}
+    linked = {g for g in range(150) if comp[2 * g] == comp[2 * g + 1]}
+    assert len(near) > 50 and len(linked & set(near)) >= 0.9 * len(near)
+    assert len(far) > 50 and not linked & set(far)
+    assert all(comp[i] >= i - 1 for i in comp)
+
+
+def test_hot_fingerprints_and_components_are_not_gathered(spark):
+    """Half of the rows empty, others near copies of one text: no join or aggregate of the last steps deals more than a small share of rows to one task."""
+    rng = np.random.default_rng(2)
+    body = rng.choice(WORDS, 300).tolist()
+    rows_in = [(i, "") for i in range(4000)] + [(4000 + i, " ".join([*body[: i % 290], f"x{i}", *body[i % 290 :]])) for i in range(2000)] + [(6000 + i, " ".join(f"{w}{i}" for w in WORDS)) for i in range(2000)]
+    groups = simhash_dedup.simhash_groups(spark.createDataFrame(rows_in, "doc_id long, text string").repartition(8))
+    comp = {r["doc_id"]: r["component_id"] for r in groups.collect()}
+    assert {comp[i] for i in range(4000)} == {0} and all(comp[i] == i for i in range(6000, 8000))
+    counted = spark.range(8000).selectExpr("id", "IF(id < 4000, 0, id) AS k")
+    right = counted.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    joined = shared.join_counted(counted, right, ["k"], 8000)
+    assert rows(joined, "id", "k", "least") == sorted(((i, 0 if i < 4000 else i, 0 if i < 4000 else i) for i in range(8000)), key=repr)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
 
 
 def test_hot_links_leave_out_far_pairs(spark):
@@ -283,14 +338,14 @@ def test_near_dedup_keeps_a_row_of_each_group_of_repeated_ids(spark):
     first, second, third = ("".join(f"{w}{k} " for w in WORDS) for k in range(3))
     rows_in = [(1, first), (2, first), (2, second), (3, third), (3, second), (4, third), (5, second + "more"), (7, first + "x"), (7, third + "y"), (None, first)]
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows_in], "doc_id long, text string, lang string")
-    comp = {(r["doc_id"], r["fp"]): r["root"] for r in simhash_dedup.rooted_groups(docs.where("doc_id IS NOT NULL")).collect()}
+    comp = {(r["doc_id"], r["fp"], r["fp2"]): r["root"] for r in simhash_dedup.rooted_groups(docs.where("doc_id IS NOT NULL"), simhash_dedup.SIMILAR).collect()}
     kept = rows(corpus_pipeline.drop_near_copies(spark, docs, ""), "doc_id", "text")
-    signed = lambda t: (slow_print(t) ^ 1 << 63) - (1 << 63)
+    both = lambda t: tuple(signed(slow_print(t, n)) for n in (2, 5))
     named = [(i, t) for i, t in rows_in if i is not None]
     want = {}
     for i, t in named:
-        root = comp[i, signed(t)]
-        want[root] = min(want.get(root, (i, signed(t), t)), (i, signed(t), t))
+        root = comp[i, *both(t)]
+        want[root] = min(want.get(root, (i, both(t), t)), (i, both(t), t))
     assert kept == sorted([(i, t) for i, _, t in want.values()] + [(None, first)], key=repr)
     assert {(1, first), (2, second), (3, third)} <= set(kept)
 
@@ -329,8 +384,8 @@ def slow_hits(items, t, window=13):
 
 @pytest.mark.parametrize("slice_bytes", [1 << 24, 64])
 def test_decontamination(spark, docs, slice_bytes):
-    items = [(1, ITEM), (2, ""), (3, None), (4, "same text here"), (None, "unlike 6"), (5, ITEM.upper()), (5, "x y")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    items = [("1", ITEM), ("b2", ""), ("3", None), ("item 4", "same text here"), (None, "unlike 6"), ("10", ITEM.upper()), ("10", "x y"), ("9", "x y z x")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
     out = fm_decontam.find_contamination(docs, bench, shard_words=500, slice_bytes=slice_bytes)
     found = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in out.collect()), key=repr)
     assert found == expect(lambda t: slow_hits(items, t))

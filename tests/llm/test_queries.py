@@ -43,7 +43,7 @@ def test_pipeline(spark):
         d["text"] = "\n".join(x for x in (d["text"] or "").split("\n") if len(key(x)) < 20 or len(holders[key(x)]) < 3 or max(holders[key(x)]) == i)
         d["n_chars"] = len(d["text"])
 
-    prints = {i: simhash_dedup.fingerprint(d["text"]) for i, d in left.items()}
+    prints = {i: [simhash_dedup.fingerprint(d["text"], n) for n in (2, 5)] for i, d in left.items()}
     seen = set()
     for i in sorted(left):
         if i in seen:
@@ -52,7 +52,7 @@ def test_pipeline(spark):
         while queue:
             u = queue.pop()
             for v in sorted(left):
-                if v not in seen and (prints[u] ^ prints[v]).bit_count() <= 4:
+                if v not in seen and all((x ^ y).bit_count() <= most for x, y, most in zip(prints[u], prints[v], (8, 14), strict=True)):
                     seen.add(v)
                     queue.append(v)
                     prints[v, "gone"] = True

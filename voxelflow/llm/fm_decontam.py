@@ -7,10 +7,12 @@ in an occurrence, so it ends a run, and runs shorter than the shortest window ar
 order, its Burrows-Wheeler transform in a wavelet matrix, and sampled suffix positions; all windows are searched
 backward at once, occurrences are located by walking to a sample, and spans that overlap or touch are merged.
 
-Nothing is shuffled: a shard belongs to one task, which rebuilds it if an executor is lost. The phrases are broadcast;
-a benchmark over `slice_bytes` is worked off in slices, whose spans are merged by document.
+Nothing is shuffled: a shard belongs to one task, which rebuilds it if an executor is lost. The phrases are broadcast.
+A benchmark over `slice_bytes` is worked off in slices, one after the other: the driver and the executors hold the phrases
+of one slice, its spans are written, and those of all slices are merged by distinct text.
 
-Null text has no words. Benchmark items with null text have no windows; hits of items with a null id count, but can't be named.
+Null text has no words. Item ids are taken as strings. Benchmark items with null text have no windows; hits of items with
+a null id count, but can't be named; items that share an id are one item. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, arrow_rows, id_and_text
+from .shared import ALNUM, arrow_rows, free_prefix, id_and_text, join_counted, materialize
 
-SCHEMA = "doc_id long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<long>"
+SCHEMA = "doc_id long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>"
 SAMPLE = 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -36,7 +38,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Phrases:
     """The windows of one slice of the benchmark: rows of word numbers (from 1), aligned to the right, and the items of each."""
 
-    def __init__(self, items: Iterable[tuple[int | None, str | None]], window: int) -> None:
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int) -> None:
         self.number: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set] = {}
         for item, text in items:
@@ -218,21 +220,24 @@ def find_contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = 2_000_000, slice_bytes: int = 16 << 20,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """For each row of docs: doc_id, n_words, n_hit (words in occurrences), spans (merged, in words) and items (their ids, sorted)."""
+    """For each row of docs: doc_id, n_words, n_hit (words in occurrences), spans (merged, in words) and items (their ids as strings, sorted)."""
     keyed = id_and_text(docs, id_col, text_col)
-    slices = phrase_slices(benchmark, window, slice_bytes, item_col, item_text_col)
-    if len(slices) == 1:
-        return _search(keyed, slices[0], shard_words)
-    keyed = keyed.withColumn("key", F.xxhash64("text"))
-    return _merge_slices([_search(keyed, p, shard_words) for p in slices]).drop("key")
+    n, items = benchmark_items(benchmark, slice_bytes, item_col, item_text_col)
+    if n == 1:
+        return _search(keyed, phrases_of(items, 0, 1, window), shard_words)
+    return _search_slices(keyed, items, n, window, shard_words).drop("key")
 
 
-def phrase_slices(benchmark: DataFrame, window: int, slice_bytes: int, item_col: str, item_text_col: str) -> list[Phrases]:
-    """The benchmark's windows in parts of about slice_bytes of text, each small enough to send to every executor."""
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
+def benchmark_items(benchmark: DataFrame, slice_bytes: int, item_col: str, item_text_col: str) -> tuple[int, DataFrame]:
+    """The number of slices of about slice_bytes of text, and the benchmark as (item, text)."""
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // slice_bytes))
-    return [Phrases((tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()), window) for k in range(n)]
+    return max(1, -(-size // slice_bytes)), items
+
+
+def phrases_of(items: DataFrame, k: int, n: int, window: int) -> Phrases:
+    """The windows of slice k of n, small enough to send to every executor."""
+    return Phrases((tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()), window)
 
 
 def without_contaminated(
@@ -240,12 +245,16 @@ def without_contaminated(
     text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """The rows of docs that `is_contaminated` doesn't hold for, with all their columns; a benchmark of one slice needs no shuffle."""
-    slices = phrase_slices(benchmark, window, slice_bytes, item_col, item_text_col)
-    if len(slices) > 1:
-        keys = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
-        dirty = _merge_slices([_search(keys, p, shard_words) for p in slices]).where(is_contaminated()).select(F.col("key").alias("__key")).distinct()
-        return docs.join(dirty, F.xxhash64(F.col(f"`{text_col}`")) == F.col("__key"), "left_anti")
-    sent = docs.sparkSession.sparkContext.broadcast(slices[0])
+    n, items = benchmark_items(benchmark, slice_bytes, item_col, item_text_col)
+    if n > 1:
+        own, text = free_prefix(docs.columns), F.col(f"`{text_col}`").cast("string")
+        keyed = docs.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
+        dirty = _search_slices(keyed, items, n, window, shard_words).where(is_contaminated()).select(F.col("key").alias(own + "key")).distinct()
+        # a text with very many copies, clean or not, is dealt over 32 places
+        dirty = dirty.withColumn(own + "salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+        salted = docs.withColumn(own + "key", F.xxhash64(text)).withColumn(own + "salt", (F.rand(1) * 32).cast("int"))
+        return salted.join(dirty, [own + "key", own + "salt"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    sent = docs.sparkSession.sparkContext.broadcast(phrases_of(items, 0, 1, window))
 
     def scan(batches: Iterable) -> Iterator:
         shard, held = Shard(sent.value), []
@@ -280,7 +289,7 @@ def _search(keyed: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
         import pyarrow as pa
 
         spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_hit": pa.int64(), "spans": spans, "items": pa.list_(pa.int64())} | ({"key": pa.int64()} if with_key else {})
+        kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_hit": pa.int64(), "spans": spans, "items": pa.list_(pa.string())} | ({"key": pa.int64()} if with_key else {})
         shard, keys = Shard(sent.value), []
 
         def out() -> pa.RecordBatch:
@@ -299,27 +308,27 @@ def _search(keyed: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
     return keyed.mapInArrow(scan, SCHEMA + (", key long" if with_key else ""))
 
 
-def _merge_slices(parts: list[DataFrame]) -> DataFrame:
-    """One row for each document again: spans of all slices merged. Rows that are alike in id and text are counted, not lost."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    order = F.array_sort(F.flatten(F.collect_list("spans")))
-    zero = F.array().cast("array<struct<start:int,end:int>>")
+def _search_slices(keyed: DataFrame, items: DataFrame, n: int, window: int, shard_words: int) -> DataFrame:
+    """As `_search` with key, over n slices in turn: each one's result is written, then spans are merged for each distinct text and joined to all its copies."""
+    keyed, every, hits = keyed.withColumn("key", F.xxhash64("text")), None, None
+    for k in range(n):
+        found = materialize(_search(keyed, phrases_of(items, k, n, window), shard_words), f"slice-{k}")
+        every = found.select("doc_id", "n_words", "key") if every is None else every
+        part = found.where("n_hit > 0").groupBy("key").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))  # copies have the same
+        hits = part if hits is None else hits.unionByName(part)
+    order, zero = F.array_sort(F.flatten(F.collect_list("spans"))), F.array().cast("array<struct<start:int,end:int>>")  # a row for each slice
     joined = F.aggregate(
         "spans", zero,
         lambda done, s: F.when((F.size(done) > 0) & (s["start"] <= F.element_at(done, -1)["end"]),
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))))
         .otherwise(F.concat(done, F.array(s))),
     )
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return (
-        every.groupBy("doc_id", "key", "n_words")
-        .agg(order.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(parts)).cast("int").alias("copies"))
-        .withColumn("spans", joined)
-        .select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items", "key", F.explode(F.expr("array_repeat(1, copies)")).alias("copy"))
-        .drop("copy")
-    )
+    merged = hits.groupBy("key").agg(order.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumn("spans", joined)
+    merged = materialize(every.groupBy("key").agg(F.count("*").alias("n")).join(merged, "key", "left"), "merged-spans")
+    spans, names = F.coalesce("spans", zero), F.coalesce("items", F.array().cast("array<string>"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    out = join_counted(every, merged, ["key"], every.count()).withColumns({"spans": spans, "items": names})
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items", "key")
 
 
 def is_contaminated() -> Column:
@@ -333,4 +342,3 @@ def cut_spans(text: str, spans: list[dict]) -> str:
     for s in reversed(spans):
         text = text[: at[s["start"]][0]] + text[at[s["end"] - 1][1] :]
     return text
-

@@ -10,7 +10,7 @@ of its last one are passed on undecided; their documents are counted by hash wit
 at most two hashes for each partition.
 
 Null text is one empty line. Rows with a null id keep all lines and don't count as documents. Rows that share an id are
-one document; each distinct text of it has its own bitmap. Other columns are not read.
+one document; each distinct text of it has its own bitmap, and repeated rows have the same one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, id_and_text, materialize
+from .shared import arrow_rows, free_prefix, id_and_text, materialize
 
 BLANK = " \t\n\v\f\r"
 LINE = "h1 long, h2 long, doc_id long, text_key long, at array<int>"
@@ -48,10 +48,14 @@ def hashed_lines(keyed: DataFrame, min_chars: int) -> DataFrame:
     """Rows of LINE for keyed (doc_id, text, text_key)."""
 
     def scan(batches: Iterable) -> Iterator:
+        sent: set[tuple] = set()  # a row that is repeated within the task sends its lines once
         for batch in batches:
             out = []
             for doc_id, text, key in arrow_rows([batch]):
-                if doc_id is not None:
+                if doc_id is not None and (doc_id, key) not in sent:
+                    if len(sent) >= 1_000_000:
+                        sent.clear()
+                    sent.add((doc_id, key))
                     out += [(*_halves(h), doc_id, key, at) for h, at in line_rows(text or "", min_chars)]
                 if len(out) >= 20_000:
                     yield _batch(out)
@@ -74,10 +78,13 @@ def _batch(rows: list[tuple], flag: bool = False):
 def stream_runs(rows: Iterable[tuple], min_docs: int) -> Iterator[tuple]:
     """Decisions over one partition's sorted rows (h1, h2, doc_id, text_key, at): rows to drop (decided), and rows of its first and last hash that need the other partitions (undecided; a row without places only tells of its document).
 
-    Held at any time: the rows of the first min_docs - 1 documents of a run.
+    Held at any time: the rows of the first min_docs - 1 documents of a run. Rows of repeated documents, which stand together, count once.
     """
-    run, docs, held, first = None, [], [], True
+    run, docs, held, first, last = None, [], [], True, None
     for h1, h2, doc, key, at in rows:
+        if (h1, h2, doc, key) == last:
+            continue
+        last = h1, h2, doc, key
         if (h1, h2) != run:
             if run is not None:
                 first = False
@@ -163,13 +170,14 @@ def kept_text(text: str | None, keep: bytes | None) -> str:
 
 def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text cut to its kept lines, and n_lines and n_dropped (columns so named are replaced); rows without an id keep all lines."""
+    own = free_prefix(docs.columns)
     maps = materialize(keep_bitmaps(docs, min_chars, min_docs, id_col, text_col), "keep-bitmaps")
-    maps = maps.select(*(F.col(c).alias("__" + c) for c in maps.columns))
+    maps = maps.select(*(F.col(c).alias(own + c) for c in maps.columns))
     text = F.col(f"`{text_col}`").cast("string")
-    joined = docs.withColumn("__hash", F.xxhash64(text)).join(maps, (F.col(f"`{id_col}`").cast("long") == F.col("__doc_id")) & (F.col("__hash") == F.col("__text_key")), "left")
-    n_lines = F.coalesce("__n_lines", F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)))
+    joined = docs.withColumn(own + "hash", F.xxhash64(text)).join(maps, (F.col(f"`{id_col}`").cast("long") == F.col(own + "doc_id")) & (F.col(own + "hash") == F.col(own + "text_key")), "left")
+    n_lines = F.coalesce(own + "n_lines", F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)))
     kept = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    wide = joined.select(*(F.col(f"`{c}`") for c in kept), text.alias(text_col), n_lines.cast("long").alias("n_lines"), F.coalesce("__n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "__keep")
+    wide = joined.select(*(F.col(f"`{c}`") for c in kept), text.alias(text_col), n_lines.cast("long").alias("n_lines"), F.coalesce(own + "n_dropped", F.lit(0)).cast("long").alias("n_dropped"), own + "keep")
 
     def cut(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -177,9 +185,9 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts, keeps = part.column(text_col).to_pylist(), part.column("__keep").to_pylist()
+                texts, keeps = part.column(text_col).to_pylist(), part.column(own + "keep").to_pylist()
                 columns = dict(zip(part.schema.names[:-1], part.columns[:-1], strict=True))
                 columns[text_col] = pa.array(map(kept_text, texts, keeps), pa.string())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return wide.mapInArrow(cut, wide.drop("__keep").schema)
+    return wide.mapInArrow(cut, wide.drop(own + "keep").schema)

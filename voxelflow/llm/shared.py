@@ -92,3 +92,22 @@ def n_buckets(rows: int, per_bucket: int = 50_000) -> int:
 def bucket_of(*cols: Column, n: int) -> Column:
     """A bucket that depends on the row's values alone; a recomputed task gives the same one."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join with right, unique by keys, whose column n (dropped) is the number of left's rows that have its key; total: left's rows, about.
+
+    Rows of a key with over a thousandth of total stay where they are: there are few such keys (n adds up to left's rows), so
+    their single rows are broadcast. All others are shuffled, and no task gets more than a small share for one key.
+    """
+    large, small = right.where(F.col("n") * 1000 > total).drop("n"), right.where(F.col("n") * 1000 <= total).drop("n")
+    rest = left.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(large), keys).unionByName(rest.join(small, keys))
+
+
+def free_prefix(columns: Iterable[str]) -> str:
+    """A prefix that none of the columns starts with, for columns of an operator's own."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
