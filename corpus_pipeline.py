@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from voxelflow.llm.fm_decontam import without_contaminated
 from voxelflow.llm.line_dedup import drop_lines
 from voxelflow.llm.packing import pack_documents
-from voxelflow.llm.shared import materialize
-from voxelflow.llm.simhash_dedup import fingerprint_of, rooted_groups
+from voxelflow.llm.shared import free_prefix, materialize
+from voxelflow.llm.simhash_dedup import SIMILAR, fingerprint_of, rooted_groups
 from voxelflow.llm.toxicity_gru import THRESHOLD, fit_toxicity, toxicity_score
 
 
@@ -30,16 +30,21 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the least id of each near-duplicate group (of those that share it, the one with the least fingerprint, then the least row); documents without an id stay."""
-    named = docs.where("doc_id IS NOT NULL")
-    groups = rooted_groups(named)
+    """The row with the least id of each group of texts that share 0.8 or more of their five-word shingles, as the fingerprints of `SIMILAR` tell.
+
+    Of rows that share that id, the one with the least fingerprints, then the least row. Documents without an id stay; null
+    and wordless texts are one group.
+    """
+    named, own = docs.where("doc_id IS NOT NULL"), free_prefix(docs.columns)
+    groups = materialize(rooted_groups(named, SIMILAR), "near-copies")
     ids = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.expr("doc_id = component_id")).alias("least")).where("least")
     single = named.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi")
     # only rows that share an id are told apart by their fingerprints
-    least = groups.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("fp").alias("__fp")).select("doc_id", "__fp")
-    shared = named.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").withColumn("__fp", fingerprint_of(F.col("text"))).join(least, ["doc_id", "__fp"], "left_semi")
+    prints = {own + str(n): fingerprint_of(F.col("text"), n) for n in SIMILAR.shingles}
+    least = groups.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min(F.struct("fp", "fp2")).alias("p")).select("doc_id", *(F.col(f"p.{fp}").alias(c) for fp, c in zip(("fp", "fp2"), prints, strict=True)))
+    shared = named.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").withColumns(prints).join(least, ["doc_id", *prints], "left_semi")
     rest = [c for c in docs.columns if c != "doc_id"]
-    one = shared.groupBy("doc_id", "__fp").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *(F.col("row")[c].alias(c) for c in rest))
+    one = shared.groupBy("doc_id", *prints).agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *(F.col("row")[c].alias(c) for c in rest))
     return single.select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(docs.where("doc_id IS NULL"))
 
 
