@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxelflow.llm import fm_decontam, kd_sharding, license_scan, line_dedup, packing, quality_forest, shared, simhash_dedup, token_counts, toxicity_gru, url_filter
+from voxelflow.llm import fm_decontam, kd_sharding, license_scan, license_templates, line_dedup, packing, quality_forest, shared, simhash_dedup, token_counts, toxicity_gru, url_filter
 
 LINE = "This very common line stands in many documents."
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -309,27 +309,70 @@ def test_forest_isolates_outliers():
     assert quality_forest.calibrate(np.array([9.0, 1, 0, 0]), np.array([0, 0, 5, 5.0]), 0.02) == 2 / quality_forest.SCORE_BINS
 
 
-def test_license_scan(docs):
-    out = {r["doc_id"]: [m["template"] for m in r["matches"]] for r in license_scan.scan_licenses(docs).where("doc_id IS NOT NULL").collect()}
-    assert out.pop(15) == ["MIT"] and not any(out.values())
+def slow_licenses(templates, t, containment=0.8):
+    """(template, share) by sets of shingles."""
+    w, out = fm_decontam.words_of(t), []
+    for name, text in sorted(templates.items()):
+        x = fm_decontam.words_of(text)
+        k = min(5, len(x))
+        whole = {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+        share = len(whole & {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) / len(whole)
+        if share >= containment:
+            out.append((name, share))
+    return out
+
+
+@pytest.mark.parametrize("slice_bytes", [1 << 24, 20_000])
+def test_license_scan(spark, docs, slice_bytes):
+    every = license_templates.default_templates()
+    mit, bsd = every["MIT"], every["BSD-3-Clause"]
+    more = [(100, f"Copyright (c) 2020 A. Nobody\n\n{mit}"), (101, mit + bsd), (101, mit + bsd), (102, mit[: len(mit) // 2]), (103, "x = 1  # SPDX-License-Identifier: MIT"), (None, mit), (104, every["GPL-3.0"].upper()), (105, f"{mit} {mit}"), (106, "SPDX License")]
+    mine = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    out = license_scan.scan_licenses(mine, slice_bytes=slice_bytes).collect()
+    got = sorted(((r["doc_id"], sorted((m["template"], m["containment"]) for m in r["matches"])) for r in out), key=repr)
+    assert got == sorted(((i, slow_licenses(every, t)) for i, t in [*TEXTS, *more]), key=repr)
+    names = {r["doc_id"]: {m["template"] for m in r["matches"]} for r in out}
+    assert names[15] == {"MIT/line"} and names[100] == {"MIT"} and names[101] == {"MIT", "BSD-2-Clause", "BSD-3-Clause"} and not names[102] and names[103] == {"MIT/tag"} and "GPL-3.0" in names[104]
 
 
-def test_license_bands_find_edited_templates():
+def test_licenses_survive_edits():
+    """Copies with words deleted and replaced and blocks inserted, of up to the template's length, are found whenever they hold 0.8 of its shingles."""
     rng = np.random.default_rng(5)
     vocab = [f"w{i}" for i in range(200)]
-    templates = {f"t{n}": " ".join(rng.choice(vocab, n)) for n in (5, 9, 40, 150)}
-    index = license_scan.TemplateIndex(templates, 0.8, 1e-4)
-    texts, wanted = [], []
-    for name, text in list(templates.items()) * 20:
-        words = text.split()
-        for _ in range(len(words) // 45):
-            words[rng.integers(len(words))] = "zz"
-        texts.append(" ".join([*rng.choice(vocab, rng.integers(0, 99)), *words, *rng.choice(vocab, rng.integers(0, 99))]))
-        whole = {tuple(text.split()[i : i + 5]) for i in range(len(text.split()) - 4)}
-        share = len(whole & {tuple(words[i : i + 5]) for i in range(len(words) - 4)}) / len(whole)
-        wanted.append(name if share >= 0.8 else None)
-    for found, name in zip(index.scan(texts), wanted, strict=True):
-        assert {m[0] for m in found} == ({name} if name else set())
+    every = license_templates.default_templates()
+    made = {f"t{n}": " ".join(rng.choice(vocab, n)) for n in (5, 9, 12, 40, 150, 400)}
+    texts, kinds = [], []
+    for name, text in (every | made).items():
+        for n in range(60 if len(text) < 20_000 else 6):
+            words = text.split()
+            for _ in range(rng.integers(0, max(1, len(words) // 26) + 1)):
+                at, kind = rng.integers(len(words)), rng.integers(3)
+                if kind == 0:
+                    words[at] = "zz"
+                elif kind == 1 and len(words) > 1:
+                    del words[at]
+                else:
+                    words[at:at] = rng.choice(vocab, rng.integers(1, len(text.split()) + 1)).tolist() if n % 2 else ["qq"]
+            texts.append(" ".join([*rng.choice(vocab, rng.integers(0, 99)), *words, *rng.choice(vocab, rng.integers(0, 99))]))
+            kinds.append(name)
+    index = license_scan.TemplateIndex(every | made, 0.8)
+    wanted = found = 0
+    for at in range(0, len(texts), 50):
+        for t, got in zip(texts[at : at + 50], index.scan(texts[at : at + 50]), strict=True):
+            want = slow_licenses(every | made, t)
+            assert {(m[0], m[3]) for m in got} <= set(want)
+            wanted, found = wanted + len(want), found + len(got)
+    assert wanted > 1000 and found >= 0.999 * wanted
+
+
+def test_registered_license_scan_against_brute_force(spark):
+    from voxelflow.llm.queries import QUERIES
+
+    every = license_templates.default_templates()
+    got = {r["doc_id"]: (r["n_matches"], r["licenses"]) for r in QUERIES["op7_license_scan"](spark, "/root/testdata/sf0.001").collect()}
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    want = {r["doc_id"]: [n for n, _ in slow_licenses(every, r["text"])] for r in texts}
+    assert got == {i: (len(n), ",".join(sorted({x.split("/")[0] for x in n}))) for i, n in want.items()} and any(n for n, _ in got.values())
 
 
 def test_near_dedup_keeps_a_row_of_each_group_of_repeated_ids(spark):
@@ -351,10 +394,10 @@ def test_near_dedup_keeps_a_row_of_each_group_of_repeated_ids(spark):
 
 
 def test_license_matches_do_not_hang_on_the_block():
-    index = license_scan.TemplateIndex(license_scan.TEMPLATES, 0.8, 1e-4)
+    index = license_scan.TemplateIndex(license_templates.NOTICES, 0.8)
     text = "work is licensed under the GNU General Public License, version 3."
     alone, among = index.scan([text])[0], index.scan(["x y z " * 20, text, "x y z " * 20])[1]
-    assert alone == among == [("GPL-3.0", 0, 11, 7 / 8)]
+    assert alone == among == [("GPL-3.0/line", 0, 11, 7 / 8)] and index.scan([]) == [] and index.scan([None, ""]) == [[], []]
 
 
 @pytest.mark.parametrize("url, parts", [(None, ("", "")), ("no scheme", ("", "")), ("http://A.Com/En/7?x#y", ("a.com", "/En/7")), ("x://h#f/g", ("h", "")), ("a://b://c/d", ("b:", "//c/d")), ("http://É.org/ES", ("É.org", "/ES")), ("://", ("", ""))])
@@ -362,10 +405,13 @@ def test_url_parts(url, parts):
     assert url_filter.split_url(url) == parts
 
 
-def test_url_rules(spark):
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 1])
+def test_url_rules(spark, slice_bytes):
     pages = spark.createDataFrame([(1, "http://a.example.com/en/750", "h"), (2, "http://a.com/en/6", "h"), (3, "http://x.example.net/de/8/9", "h"), (4, None, None), (None, "http://org/es/", "h"), (5, "http://myorg/es/", "h"), (1, "http://a.example.com/en/750", "h")], "page_id long, url string, html string")
-    out = rows(url_filter.filter_urls(pages), "page_id", "rule", "verdict")
+    out = rows(url_filter.filter_urls(pages, slice_bytes=slice_bytes), "page_id", "rule", "verdict")
     assert out == sorted([(1, "example.com/en/7", "allow"), (2, "com/en/", "block"), (3, "example.net/de/8", "block"), (4, None, "allow"), (None, "org/es/", "block"), (5, None, "allow"), (1, "example.com/en/7", "allow")], key=repr)
+    long = spark.createDataFrame([(1, "http://a.com/" + "x/" * 200_000), (2, "http://" + "a." * 100_000 + "org/es/q")], "page_id long, url string")
+    assert rows(url_filter.filter_urls(long, slice_bytes=slice_bytes), "page_id", "rule") == [(1, None), (2, "org/es/")]
 
 
 def slow_hits(items, t, window=13):

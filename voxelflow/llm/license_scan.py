@@ -1,43 +1,45 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
-Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; shingles are five words. A template of S
-shingles is looked for in windows of S shingles, a quarter of S apart. Text that holds `containment` of a template's
-shingles in a row has a window with at least that less an eighth in common, hence a Jaccard similarity J of at least
-c / (2 - c) for c = containment - 1/8; bands are single minima, as many as make (1 - J) ** bands at most `miss`. A window that shares a band's minimum
-with a template is a candidate; it is widened by a step on both sides, cut at its document's ends, and its words'
-shingles are compared themselves. Matches of a template that overlap count once.
-
-Windows never decide on less than the whole text; nothing is shuffled. Templates are configuration, and their size is
-checked before they are broadcast. Null text, or one of under five words, has no matches; a null id stays null; equal
-rows give equal rows; other columns are not read.
+Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; shingles are five words (a template of fewer
+words is one shingle). A document matches a template if it holds `containment` or more of the template's distinct
+shingles, wherever they stand in it.
+
+Retrieval is sure, not likely: a text that lacks at most a share 1 - containment of S shingles is cut into few runs, as
+each cut, replaced word or inserted block costs at least four shingles, so one run has `window_width(S)` shingles or more.
+All windows of that width (at most MAX_WIDTH) of templates and documents are compared by the minimum of their shingles'
+hashes; windows in an unbroken run are equal, have a similarity of 1, and share their minimum, so that one band of one row finds
+them with probability 1 (the exceptions are a template's own repeated shingles, which may be lost more often). Documents and
+templates that share a minimum are verified: all of the document's shingles are compared with the template's, word for word.
+
+Nothing is shuffled. Templates are configuration; those beyond `slice_bytes` are scanned for in slices, each in a pass of
+its own over the texts that the pass before wrote. Null text, or one of fewer words than a template, doesn't match; a null id stays null; equal
+rows give equal rows; templates that hold one another, or differ by a version number, match together, and
+their containments tell them apart; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from math import ceil, log
+from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .fm_decontam import words_of
-from .shared import arrow_rows, chunks, id_and_text
-
-SHINGLE = 5
-MAX_TEMPLATE_BYTES = 16 << 20
-SCHEMA = "doc_id long, matches array<struct<template:string,start:int,end:int,containment:double>>"
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-}
+from .license_templates import default_templates
+from .shared import arrow_rows, chunks, id_and_text, materialize
+
+SHINGLE, MAX_WIDTH = 5, 8
+MATCHES = "array<struct<template:string,start:int,end:int,containment:double>>"
 _FAR = np.uint64(2**64 - 1)
 
 
-def n_bands(containment: float, miss: float) -> int:
-    c = containment - 1 / 8
-    return ceil(log(miss) / log(1 - c / (2 - c)))
+def window_width(n: int, shingle: int, containment: float) -> int:
+    """Shingles that the longest unbroken run has at least, where a text holds the share `containment` of a template's n."""
+    lost = int((1 - containment) * n + 1e-9)
+    runs = lost // max(1, shingle - 1) + 1
+    return max(1, min(MAX_WIDTH, ceil((n - lost) / runs)))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -45,11 +47,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def shingle_hashes(words: np.ndarray) -> np.ndarray:
-    """A hash of every five neighbouring word hashes."""
-    h = words[: words.size - SHINGLE + 1].copy()
-    for k in range(1, SHINGLE):
-        h = h * np.uint64(0x100000001B3) + words[k : words.size - SHINGLE + 1 + k]
+def shingle_hashes(words: np.ndarray, shingle: int) -> np.ndarray:
+    """A hash of every `shingle` neighbouring word hashes."""
+    n = max(0, words.size - shingle + 1)
+    h = words[:n].copy()
+    for k in range(1, shingle):
+        h = h * np.uint64(0x100000001B3) + words[k : n + k]
     return _mix(h)
 
 
@@ -64,97 +67,94 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class TemplateIndex:
-    def __init__(self, templates: dict[str, str], containment: float, miss: float) -> None:
+    """Templates by shingle length and window width, each with the sorted minima of all windows and their templates."""
+
+    def __init__(self, templates: dict[str, str], containment: float) -> None:
         import xxhash
 
         self.containment, self.digest = containment, xxhash.xxh64_intdigest
-        self.salts = np.random.default_rng(3).integers(1, 2**63, n_bands(containment, miss), dtype=np.uint64) | np.uint64(1)
-        self.classes: dict[int, dict] = {}
+        self.names, self.shingles, self.hashes, self.classes = [], [], [], {}
+        found: dict[tuple[int, int], set] = {}
         for name, text in sorted(templates.items()):
             words = words_of(text)
-            shingles = {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
-            if not shingles:
-                raise ValueError(f"template {name} has under {SHINGLE} words")
-            hashes = shingle_hashes(np.array([self.digest(w) for w in words], np.uint64))
-            group = self.classes.setdefault(len(words) - SHINGLE + 1, {"names": [], "shingles": [], "minima": []})
-            group["names"].append(name)
-            group["shingles"].append(shingles)
-            group["minima"].append([_mix(hashes * s).min() for s in self.salts])
-        for width, group in self.classes.items():
-            group["minima"] = np.array(group["minima"], np.uint64).T[: 1 if width == 1 else None]
-            table = np.zeros((len(group["minima"]), 1 << 16), bool)
-            for k, m in enumerate(group["minima"]):
-                table[k, m >> np.uint64(48)] = True
-            group["table"] = table
-
-    def candidates(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(window start, shingles, step, template number) of windows that share a band with a template of that many shingles."""
-        for width, group in self.classes.items():
-            hashes = np.append(hashes, np.full(max(0, width - hashes.size), _FAR))  # a short text may still hold enough of the template
-            step, found = max(1, width // 4), set()
-            for salt, minima, table in zip(self.salts, group["minima"], group["table"], strict=False):
-                m = sliding_min(np.where(hashes == _FAR, _FAR, _mix(hashes * salt)), width)
-                places = m[::step] if (m.size - 1) % step == 0 else np.append(m[::step], m[-1])
-                for i in np.flatnonzero(table[places >> np.uint64(48)]).tolist():
-                    found.update((min(i * step, m.size - 1), int(t)) for t in np.flatnonzero(minima == places[i]))
-            yield from ((start, width, step, t) for start, t in sorted(found))
+            if not words:
+                raise ValueError(f"template {name} has no words")
+            k = min(SHINGLE, len(words))
+            hashes = shingle_hashes(np.array([self.digest(w) for w in words], np.uint64), k)
+            width = window_width(hashes.size, k, containment)
+            found.setdefault((k, width), set()).update((m, len(self.names)) for m in sliding_min(hashes, width).tolist())
+            self.names.append(name)
+            self.shingles.append({tuple(words[i : i + k]) for i in range(len(words) - k + 1)})
+            self.hashes.append(np.unique(hashes))
+        for key, pairs in found.items():
+            minima, templates_of = zip(*sorted(pairs), strict=True)
+            table = np.zeros(1 << 16, bool)
+            minima = np.array(minima, np.uint64)
+            table[minima >> np.uint64(48)] = True
+            self.classes[key] = minima, np.array(templates_of), table
+
+    def candidates(self, hashes: dict[int, np.ndarray], ends: np.ndarray) -> list[tuple[int, int, int]]:
+        """(document, template, shingle length) of documents with a window whose minimum is that of a template's."""
+        out: set[tuple[int, int, int]] = set()
+        for (k, width), (minima, templates, table) in self.classes.items():
+            if hashes[k].size < width:
+                continue
+            m = sliding_min(hashes[k], width)
+            at = np.flatnonzero(table[m >> np.uint64(48)])
+            lo, hi = np.searchsorted(minima, m[at], "left"), np.searchsorted(minima, m[at], "right")
+            for i, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                # a window over a border may have its minimum from either document
+                docs = range(int(np.searchsorted(ends, i, "right")), int(np.searchsorted(ends, i + width + k - 2, "right")) + 1)
+                out.update((d, int(t), k) for d in docs for t in templates[a:b])
+        return sorted(out)
 
     def scan(self, texts: list[str | None]) -> list[list[tuple[str, int, int, float]]]:
-        """Matches of each text: template, first word, last word + 1, and the share of the template's shingles found."""
+        """Matches of each text: template, its first word and last word + 1 in the text, and the share of its shingles found."""
         words = [words_of(t) for t in texts]
-        sizes = np.array([len(w) for w in words])
+        sizes = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(sizes)
         out: list[list] = [[] for _ in texts]
-        every = [w for x in words for w in x]
-        if len(every) < SHINGLE:
-            return out
         number: dict[bytes, int] = {}
-        ids = np.array([number.setdefault(w, len(number)) for w in every], np.int64)
-        hashes = shingle_hashes(np.array([self.digest(w) for w in number], np.uint64)[ids])
-        for k in range(1, SHINGLE):  # no shingle goes over a document's end
-            at = ends[:-1] - k
-            hashes[at[(at >= 0) & (at < hashes.size)]] = _FAR
-        for start, width, step, t in self.candidates(hashes):
-            lo, hi = start - step, start + width + step + SHINGLE - 1
-            for d in range(int(np.searchsorted(ends, max(lo, 0), "right")), len(texts)):
-                begin = int(ends[d] - sizes[d])
-                if begin >= hi:
-                    break
-                a, b = max(lo, begin) - begin, min(hi, int(ends[d])) - begin
-                group = self.classes[width]
-                hits = [i for i in range(a, b - SHINGLE + 1) if tuple(words[d][i : i + SHINGLE]) in group["shingles"][t]]
-                share = len({tuple(words[d][i : i + SHINGLE]) for i in hits}) / len(group["shingles"][t])
-                if share >= self.containment:
-                    out[d].append((group["names"][t], hits[0], hits[-1] + SHINGLE, share))
-        return [_apart(m) for m in out]
-
-
-def _apart(matches: list[tuple]) -> list[tuple]:
-    """One match for each set of overlapping ones of a template: their span, and the largest share."""
-    out: list[tuple] = []
-    for name, a, b, share in sorted(set(matches)):
-        if out and out[-1][0] == name and a < out[-1][2]:
-            out[-1] = (name, out[-1][1], max(b, out[-1][2]), max(share, out[-1][3]))
-        else:
-            out.append((name, a, b, share))
-    return out
-
-
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, miss: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and matches (template, first word, last word + 1, containment) of every row of docs."""
-    templates = templates or TEMPLATES
-    if sum(len(t.encode()) for t in templates.values()) > MAX_TEMPLATE_BYTES:
-        raise ValueError(f"templates of over {MAX_TEMPLATE_BYTES} bytes: scan for them in parts")
-    sent = docs.sparkSession.sparkContext.broadcast((templates, containment, miss))
+        ids = np.array([number.setdefault(w, len(number)) for x in words for w in x], np.int64)
+        of_word = np.array([self.digest(w) for w in number], np.uint64)[ids] if ids.size else np.empty(0, np.uint64)
+        hashes = {k: shingle_hashes(of_word, k) for k in {k for k, _ in self.classes}}
+        for k, h in hashes.items():
+            for back in range(1, k):  # no shingle goes over a document's end
+                at = ends[:-1] - back
+                h[at[(at >= 0) & (at < h.size)]] = _FAR
+        for d, t, k in self.candidates(hashes, ends):
+            if d >= len(texts):
+                continue
+            begin = int(ends[d] - sizes[d])
+            mine = hashes[k][begin : max(begin, int(ends[d]) - k + 1)]
+            hits = [i for i in np.flatnonzero(np.isin(mine, self.hashes[t])).tolist() if tuple(words[d][i : i + k]) in self.shingles[t]]
+            share = len({tuple(words[d][i : i + k]) for i in hits}) / len(self.shingles[t])
+            if share >= self.containment:
+                out[d].append((self.names[t], hits[0], hits[-1] + k, share))
+        return out
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, slice_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and matches (template, first word, last word + 1, containment; by name) of every row of docs."""
+    parts = list(chunks(sorted((templates or default_templates()).items()), slice_bytes, lambda x: len(x[1].encode())))
+    rows = id_and_text(docs, id_col, text_col).withColumn("matches", F.array().cast(MATCHES))
+    for n, part in enumerate(parts):
+        rows = _pass(rows if n == 0 else materialize(rows, "license-pass"), TemplateIndex(dict(part), containment), with_text=n < len(parts) - 1)
+    return rows.select("doc_id", "matches")
+
+
+def _pass(rows: DataFrame, index: TemplateIndex, with_text: bool) -> DataFrame:
+    """rows (doc_id, text, matches) with the index's matches added; text is left out after the last pass."""
+    sent = rows.sparkSession.sparkContext.broadcast(index)
 
     def scan(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("template", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("containment", pa.float64())]))
-        index = TemplateIndex(*sent.value)
         for block in chunks(arrow_rows(batches), 1 << 20, lambda r: len(r[1] or "")):
-            found = index.scan([t for _, t in block])
-            rows = [[dict(zip(("template", "start", "end", "containment"), m, strict=True)) for m in ms] for ms in found]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in block], pa.int64()), pa.array(rows, kind)], ["doc_id", "matches"])
+            found = sent.value.scan([t for _, t, _ in block])
+            matches = [before + [dict(zip(("template", "start", "end", "containment"), m, strict=True)) for m in ms] for (_, _, before), ms in zip(block, found, strict=True)]
+            columns = [pa.array([r[0] for r in block], pa.int64()), *([pa.array([r[1] for r in block], pa.string())] * with_text), pa.array(matches, kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *["text"] * with_text, "matches"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(scan, SCHEMA)
+    return rows.mapInArrow(scan, f"doc_id long, {'text string, ' if with_text else ''}matches {MATCHES}")

@@ -53,7 +53,7 @@ def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
-    names = F.array_join(F.array_sort(F.array_distinct("matches.template")), ",")
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("matches.template", lambda t: F.substring_index(t, "/", 1)))), ",")
     return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), names.alias("licenses"))
 
 
