@@ -492,13 +492,39 @@ def test_toxicity_edges(spark, docs):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join([*rng.choice(WORDS, 30), *(["venom", "venomous"][i // 2 % 2 : i // 2 % 2 + 1] if i % 2 else []), *rng.choice(WORDS, 30)]), i % 2) for i in range(400)]
     train = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").unionByName(docs.select("doc_id", "text").where("doc_id IS NULL"))
-    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
-    out = toxicity_gru.toxicity(train, labels).where("doc_id IS NOT NULL").collect()
-    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in out)
-    held = [r for r in out if r["held_out"]]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None), (7, 0)], "doc_id long, toxic int")  # 7 has both labels: toxic
+    long = " ".join(rng.choice(WORDS, 40_000))
+    odd = [(1000, None), (1001, ""), (1002, " \n "), (1003, long), (1003, long), (1004, f"{long[:100_000]} venom venomous venom venomous {long[100_000:]}"), (None, "venom " * 40), (1005, "venom")]
+    out = toxicity_gru.toxicity(train.unionByName(spark.createDataFrame(odd, "doc_id long, text string")), labels).collect()
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in out)
+    assert all(r["predicted"] == (r["score"] >= 0.7) for r in out)
+    at = collections.defaultdict(list)
+    for r in out:
+        at[r["doc_id"]].append(r["score"])
+    assert at[1000] == at[1001] == at[1002] == [0.0] and len(at[1003]) == 2 and max(at[1003]) - min(at[1003]) < 1e-5 and at[1003][0] < at[1004][0] and at[1003][0] < 0.7
+    held = [r for r in out if r["held_out"] and r["doc_id"] < 1000]
     assert sum(r["predicted"] == r["doc_id"] % 2 for r in held) >= 0.95 * len(held)
 
 
+def test_toxicity_beats_the_best_word():
+    """Held-out rows of the largest small table: the network against the highest log odds of a text's words."""
+    import duckdb
+
+    known = duckdb.sql("SELECT doc_id, text, max(toxic) FROM '/root/testdata/sf0.1/documents.parquet' JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id) WHERE toxic IS NOT NULL GROUP BY ALL ORDER BY text").fetchall()
+    held = np.array([zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in known])
+    y, texts = np.array([t for _, _, t in known]), [t for _, t, _ in known]
+    learn = [k for k in np.flatnonzero(~held) if len(texts[k].encode()) <= 16 << 10]
+    model = toxicity_gru.train([texts[k] for k in learn], y[learn].tolist(), rounds=3)
+    seen = [set(toxicity_gru.words_of(t)) for t in texts]
+    n = [collections.Counter(w for k in learn if y[k] == c for w in seen[k]) for c in (0, 1)]
+    odds = lambda w: (np.log((n[1][w] + 0.5) / (n[0][w] + 0.5)) * (n[0][w] + n[1][w]) / (n[0][w] + n[1][w] + 4)) if w in n[1] else -9.0
+    test = np.flatnonzero(held)
+    score, word = model.scores([texts[k] for k in test]), np.array([max(map(odds, seen[k]), default=-9.0) for k in test])
+    pairs = lambda s: float(np.mean([(s[y[test] == 0] < v).mean() + (s[y[test] == 0] == v).mean() / 2 for v in s[y[test] == 1]]))
+    assert pairs(score) > pairs(word) and pairs(score) > 0.96
+    assert (score[y[test] == 1] >= 0.7).mean() > 0.8 and (score[y[test] == 0] >= 0.7).mean() < 0.02
+
+
 def test_empty_tables(spark, docs):
     none, bench = docs.limit(0), spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

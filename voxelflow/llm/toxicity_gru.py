@@ -1,16 +1,19 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A word enters as its own hashed embedding and the mean of its character trigrams' embeddings. Windows of `WIDTH` words
-overlap by WIDTH - STRIDE; every window of every whole text is scored, and a document has the logit of its highest window.
+overlap by WIDTH - STRIDE; every window of every whole text is scored. A document's logit is half its highest window's and
+half its windows' mean, so that neither one toxic passage nor a thin spread of toxic words is lost, and a single odd word in
+a long text counts little.
 
-Training: a bounded sample of labelled documents (`max_toxic` and `max_clean` ids, the first by a hash, of texts up to
-`max_bytes`). Labels are of documents, so a toxic one is taught by its highest window, at first by the evidence of its
+Training: a bounded sample of labelled documents (`max_toxic` and `max_clean` ids with texts of up to `max_bytes`, the first
+by a hash). Labels are of documents, so a toxic one is taught by its highest window, at first by the evidence of its
 words (log odds of hashed words and trigrams between the classes, which also start the embeddings), then by the network;
-clean ones by their highest and by random ones. The cut between the classes, on sample documents kept out of training,
-gets a score of THRESHOLD. Rows for which `held_out` is true are never learnt from.
+clean ones by their highest and by random ones. `NETS` networks are fitted, each without another part of the sample, with their
+weights averaged over the last steps; their mean decides. Together the parts that were left out give the cut between the
+classes, which gets a score of THRESHOLD. Rows for which `held_out` is true are never learnt from.
 
-A text without words (or null) scores 0; a null id isn't held out and has no label; rows that repeat
-are each scored; other columns are not read. Without labels of both kinds every score is 0.
+A text without words (or null) scores 0; a null id isn't held out and has no label; an id with both labels is toxic; rows
+that repeat are each scored; other columns are not read. Without labels of both kinds every score is 0.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ WIDTH, STRIDE, HIDDEN, PART = 64, 48, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 16, 1 << 13
 THRESHOLD = 0.7
 #: Share of words that a batch sees by their characters alone, of a weight that each step takes away, and of a label given to the other class.
-HIDE, DECAY, SMOOTH = 0.5, 1e-3, 0.1
+HIDE, DECAY, SMOOTH = 0.8, 1e-3, 0.1
+#: Networks, parts of the sample (each net leaves one out), and the share of the running mean of weights that a step keeps.
+NETS, PARTS, KEEP = 2, 5, 0.98
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -84,7 +89,6 @@ class ToxicityNet:
         self.p = {"word": f(WORD_ROWS, PART, k=0.02), "char": f(CHAR_ROWS, PART, k=0.02), "v": f(2 * HIDDEN, k=0.3), "u": f(2 * HIDDEN, k=0.3), "bias": np.array([-1.0], np.float32)}
         for d in "ab":
             self.p |= {"W" + d: f(2 * PART, 3 * HIDDEN, k=0.4), "U" + d: f(HIDDEN, 3 * HIDDEN, k=0.3), "c" + d: np.zeros(3 * HIDDEN, np.float32)}
-        self.shift, self.ready = 0.0, False
 
     def inputs(self, w: Words, hidden: np.ndarray | None = None) -> np.ndarray:
         """A row for each distinct word; row 0 is no word. hidden: words without their own embedding."""
@@ -144,16 +148,20 @@ class ToxicityNet:
         dx, K = np.zeros_like(x), HIDDEN
         for k, name in enumerate("ab"):
             U, W = self.p["U" + name], self.p["W" + name]
-            dU, dtable, carry = np.zeros_like(U), np.zeros((len(x), 3 * K), np.float32), np.zeros((len(ids), K), np.float32)
+            carry, at_all, into, through, held = np.zeros((len(ids), K), np.float32), [], [], [], []
             for t, before, z, r, gn, new in reversed(keep[name]):
-                at = ids[:, t]
-                dh = (dh_all[:, t, k * K : (k + 1) * K] + carry) * (at > 0)[:, None]
+                dh = (dh_all[:, t, k * K : (k + 1) * K] + carry) * (ids[:, t] > 0)[:, None]
                 dn = dh * (1 - z) * (1 - new * new)
                 dg = np.concatenate([dh * (before - new) * z * (1 - z), dn * gn * r * (1 - r), dn], axis=1)
-                np.add.at(dtable, at, dg)
-                dg[:, 2 * K :] *= r
-                dU += before.T @ dg
-                carry = dh * z + dg @ U.T
+                back = dg.copy()
+                back[:, 2 * K :] *= r
+                carry = dh * z + back @ U.T
+                for rows, row in zip((at_all, into, through, held), (ids[:, t], dg, back, before), strict=True):
+                    rows.append(row)
+            at_all, into = np.concatenate(at_all), np.concatenate(into)
+            dU, dtable, order = np.concatenate(held).T @ np.concatenate(through), np.zeros((len(x), 3 * K), into.dtype), np.argsort(at_all, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(at_all[order]) > 0]))
+            dtable[at_all[order[first]]] = np.add.reduceat(into[order], first, axis=0)
             g["U" + name], g["W" + name], g["c" + name] = dU, x.T @ dtable, dtable.sum(axis=0)
             dx += dtable @ W.T
         g["word"], g["char"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["char"])
@@ -167,14 +175,28 @@ class ToxicityNet:
         x = self.inputs(w)
         return np.concatenate([self.forward(x, w.windows[i : i + 1024]) for i in range(0, len(w.windows), 1024)])
 
+
+class ToxicityModel:
+    """Networks whose mean logit decides, and the logit that gets THRESHOLD; without networks every score is 0."""
+
+    def __init__(self, nets: list[ToxicityNet], shift: float = 0.0) -> None:
+        self.nets, self.shift = nets, shift
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The score of each whole text."""
-        if not self.ready:
+        if not self.nets or not texts:
             return np.zeros(len(texts))
         w = Words(map(words_of, texts))
-        top = np.full(len(texts), -np.inf)
-        np.maximum.at(top, w.doc, np.where(w.windows[:, 0] > 0, self.window_logits(w), -np.inf))
-        return sigmoid(top.astype(float) - self.shift + np.log(THRESHOLD / (1 - THRESHOLD)))
+        logit = pooled(w, sum(net.window_logits(w) for net in self.nets) / len(self.nets), len(texts))
+        return np.round(sigmoid(logit - self.shift + np.log(THRESHOLD / (1 - THRESHOLD))), 6)  # sums of single precision hang on the block of texts
+
+
+def pooled(w: Words, logits: np.ndarray, n: int) -> np.ndarray:
+    """Half the highest and half the mean logit of each document's windows; without words: -inf."""
+    logits = logits.astype(float)
+    top, total = np.full(n, -np.inf), np.bincount(w.doc, logits, n)
+    np.maximum.at(top, w.doc, np.where(w.windows[:, 0] > 0, logits, -np.inf))
+    return (top + total / np.maximum(np.bincount(w.doc, minlength=n), 1)) / 2
 
 
 def evidence(rows: list[np.ndarray], toxic: np.ndarray, n_rows: int) -> np.ndarray:
@@ -186,16 +208,31 @@ def evidence(rows: list[np.ndarray], toxic: np.ndarray, n_rows: int) -> np.ndarr
     return (odds * n.sum(axis=0) / (n.sum(axis=0) + 4)).astype(np.float32)
 
 
-def train(texts: list[str], toxic: list[int], rounds: int = 4, steps: int = 60, batch: int = 64, seed: int = 5) -> ToxicityNet:
-    """The network fitted to whole texts; every fifth one only sets the cut. Each batch has an empty window among the clean ones, and hides some words' own embeddings, so that their characters count."""
-    net, rng = ToxicityNet(), np.random.default_rng(seed)
+def train(texts: list[str], toxic: list[int], rounds: int = 4, steps: int = 60, batch: int = 64, seed: int = 5) -> ToxicityModel:
+    """The networks fitted to whole texts, and the cut from the documents that each of them hasn't seen."""
     y = np.array(toxic, int)
     if len(y) < 2 or y.min() == y.max():
-        return net
+        return ToxicityModel([])
     words = Words(map(words_of, texts))
-    fit = np.ones(len(y), bool)
+    part = np.full(len(y), -1)  # classes of fewer than PARTS documents are in every net's sample
     for c in (0, 1):
-        fit[np.flatnonzero(y == c)[::5]] = (y == c).sum() < 5
+        at = np.flatnonzero(y == c)
+        part[at] = np.arange(at.size) % PARTS if at.size >= PARTS else -1
+    nets, unseen, of = [], [], []
+    for k in range(NETS):
+        net, logits = fit_net(words, y, part != k, rounds, steps, batch, seed + k)
+        left = np.flatnonzero(part == k)
+        left = left if len(set(y[left])) == 2 else np.arange(len(y))
+        nets.append(net)
+        unseen.append(pooled(words, logits, len(y))[left])
+        of.append(y[left])
+    unseen, of = np.concatenate(unseen), np.concatenate(of)
+    return ToxicityModel(nets, best_cut(unseen[np.isfinite(unseen)], of[np.isfinite(unseen)]))
+
+
+def fit_net(words: Words, y: np.ndarray, fit: np.ndarray, rounds: int, steps: int, batch: int, seed: int) -> tuple[ToxicityNet, np.ndarray]:
+    """A network fitted to the documents `fit`, and its logits of all windows. Each batch has an empty window among the clean ones, and hides many words' own embeddings, so that their characters count."""
+    net, rng = ToxicityNet(seed + 6), np.random.default_rng(seed)
     seen = _distinct(words, fit)
     word_rows = [np.unique(words.hashes[s - 1]) for s in seen]
     net.p["word"][:, 0] += evidence(word_rows, y[fit], WORD_ROWS) / 4
@@ -204,9 +241,10 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4, steps: int = 60,
     x = net.inputs(words)
     score = (x[:, 0] + 2 * x[:, PART])[words.windows].max(axis=1)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    mean = {k: v.copy() for k, v in net.p.items()}
     by_doc = np.split(np.arange(len(words.doc)), np.flatnonzero(np.diff(words.doc)) + 1)
     used, step = [np.flatnonzero(fit & (y == c)) for c in (0, 1)], 0
-    for _ in range(rounds):
+    for last in range(rounds - 1, -1, -1):
         top = np.array([i[np.argmax(score[i])] for i in by_doc])
         for _ in range(steps):
             step += 1
@@ -217,14 +255,14 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4, steps: int = 60,
             ids[-1] = 0
             _, g = net.gradients(part, ids, hit, rng.random(len(part.hashes)) < HIDE)
             _adam(net.p, g, moment, step)
-            for name in net.p.keys() - {"bias"}:
-                net.p[name] *= 1 - DECAY
+            for name in net.p:
+                if name != "bias":
+                    net.p[name] *= 1 - DECAY
+                mean[name] += (1 - KEEP) * (net.p[name] - mean[name]) if step > 20 else net.p[name] - mean[name]
+        if not last:
+            net.p = mean
         score = net.window_logits(words)
-    top = np.full(len(y), -np.inf)
-    np.maximum.at(top, words.doc, score)
-    judge = ~fit if (~fit).any() and len(set(y[~fit])) == 2 else fit
-    net.shift, net.ready = best_cut(top[judge], y[judge]), True
-    return net
+    return net, score
 
 
 def _distinct(words: Words, fit: np.ndarray) -> list[np.ndarray]:
@@ -261,14 +299,20 @@ def _adam(p: dict, g: dict, moment: dict, step: int, rate: float = 0.01) -> None
         p[k][at] -= rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.999**step)) + 1e-8)
 
 
-def best_cut(logits: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the best gap: most toxic less clean documents above it, by their shares, clean ones counted five times."""
-    order = np.argsort(-logits, kind="stable")
-    s, t = logits[order], y[order]
-    gain = np.cumsum(t) / max(1, t.sum()) - 5 * np.cumsum(1 - t) / max(1, (1 - t).sum())
-    gain[:-1][s[:-1] == s[1:]] = -np.inf
-    k = int(np.argmax(gain))
-    return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k] - 1e-3)
+def best_cut(logits: np.ndarray, y: np.ndarray, resamples: int = 50, seed: int = 3) -> float:
+    """The median, over resampled documents, of the middle of the best gap: most toxic less clean documents above it, by their shares, clean ones counted three times."""
+    rng, cuts = np.random.default_rng(seed), []
+    for n in range(resamples + 1):
+        at = rng.integers(0, len(y), len(y)) if n else np.arange(len(y))
+        order = at[np.argsort(-logits[at], kind="stable")]
+        s, t = logits[order], y[order]
+        if n and t.min() == t.max():
+            continue
+        gain = np.cumsum(t) / max(1, t.sum()) - 3 * np.cumsum(1 - t) / max(1, (1 - t).sum())
+        gain[:-1][s[:-1] == s[1:]] = -np.inf
+        k = int(np.argmax(gain))
+        cuts.append(float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k] - 1e-3))
+    return float(np.median(cuts))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -279,18 +323,19 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: int = 4000, max_bytes: int = 16 << 10,
     id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic",
-) -> ToxicityNet:
+) -> ToxicityModel:
     """Trained on the driver on at most max_toxic + max_clean texts of max_bytes each."""
     known = labels.select(F.col(f"`{label_id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).dropna().where(~held_out())
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    short = id_and_text(docs, id_col, text_col).where(F.octet_length("text") <= max_bytes)
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).join(short.select("doc_id").distinct(), "doc_id")
     ids = [known.where(which).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for which, n in (("y > 0", max_toxic), ("y <= 0", max_clean))]
     picked = F.broadcast(ids[0].unionByName(ids[1]))  # max_toxic + max_clean rows at most
-    rows = id_and_text(docs, id_col, text_col).join(picked, "doc_id").where(F.octet_length("text") <= max_bytes).groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    rows = short.join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     rows.sort()
     return train([r["text"] for r in rows], [int(r["y"] > 0) for r in rows])
 
 
-def score_toxicity(docs: DataFrame, net: ToxicityNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, net: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -304,7 +349,7 @@ def score_toxicity(docs: DataFrame, net: ToxicityNet, id_col: str = "doc_id", te
     return id_and_text(docs, id_col, text_col).mapInArrow(scan, "doc_id long, score double")
 
 
-def toxicity_score(net: ToxicityNet, text: Column) -> Column:
+def toxicity_score(net: ToxicityModel, text: Column) -> Column:
     """The score as a column, for filters that keep the other columns."""
     sent = SparkSession.active().sparkContext.broadcast(net)
 
