@@ -184,6 +184,52 @@ def test_kd_sharding_balances_and_splits_only_large_groups(spark):
     assert len({r["shard"] for r in out if 10_000 <= r["doc_id"] < 20_000}) > 1
 
 
+def slow_tree(points, target):
+    """Leaves (as sorted lists of point numbers) of the same rule, by recursion."""
+    dims = range(len(points[0]) - 1)
+    scale = [max(p[d] for p in points) - min(p[d] for p in points) or 1.0 for d in dims]
+
+    def walk(at):
+        spread = [(max(points[i][d] for i in at) - min(points[i][d] for i in at)) / scale[d] for d in dims]
+        d, total = spread.index(max(spread)), sum(points[i][-1] for i in at)
+        if total <= target or not max(spread):
+            return [sorted(at)]
+        top = max(points[i][d] for i in at)
+        _, cut = min((abs(2 * sum(points[i][-1] for i in at if points[i][d] <= v) - total), v) for v in {points[i][d] for i in at} - {top})
+        return walk([i for i in at if points[i][d] <= cut]) + walk([i for i in at if points[i][d] > cut])
+
+    return sorted(walk(list(range(len(points)))))
+
+
+@pytest.mark.parametrize("bins", [1024, 3])
+def test_kd_tree_against_brute_force(spark, monkeypatch, bins):
+    monkeypatch.setattr(kd_sharding, "BINS", bins)
+    rng = np.random.default_rng(6)
+    points = [(float(rng.integers(40)), float(rng.exponential(3) ** 4), float(rng.integers(3)), int(rng.integers(1, 60))) for _ in range(300)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "i long, a double, b double, c double, weight long")
+    tree, leaves = kd_sharding.grow(df, ["a", "b", "c"], 700)
+    found = collections.defaultdict(list)
+    for r in df.withColumn("node", tree.node(["a", "b", "c"])).collect():
+        found[r["node"]].append(r["i"])
+    assert sorted(map(sorted, found.values())) == slow_tree(points, 700)
+    assert leaves == {n: sum(points[i][-1] for i in at) for n, at in found.items()}
+
+
+def test_kd_metadata_ranks_and_hot_groups(spark):
+    """Whole strings are told apart, nulls come first, and a group with most rows but few bytes stays whole."""
+    rows_in = [(i, "x", ["aaaaaaaaaa1", "aaaaaaaaaa2", None, ""][i % 4], i % 7 - 3) for i in range(400)]
+    docs = spark.createDataFrame(rows_in, "doc_id long, text string, source string, lang int")
+    ranked = kd_sharding.with_rank(kd_sharding.with_rank(docs, "source", "r", 400), "lang", "q", 400)
+    assert {(r["source"], r["r"]) for r in ranked.collect()} == {(None, -1.0), ("", 0.0), ("aaaaaaaaaa1", 1.0), ("aaaaaaaaaa2", 2.0)}
+    assert {r["lang"] - r["q"] for r in ranked.collect()} == {-3.0} and ranked.count() == 400
+    many = spark.createDataFrame([(i, "", "s", "en") for i in range(6000)] + [(6000 + i, "word " * 300 + str(i), f"s{i % 5}", "en") for i in range(600)], "doc_id long, text string, source string, lang string")
+    out = kd_sharding.kd_shards(many, shards=8).collect()
+    sums = collections.Counter()
+    for r in out:
+        sums[r["shard"]] += r["size"]
+    assert len(out) == 6600 and len({r["shard"] for r in out if r["doc_id"] < 6000}) == 1 and max(sums.values()) < 1.05 * min(sums.values())
+
+
 def slow_lines():
     key = lambda x: asc_lower(x.strip(" \t\n\v\f\r"))
     holders = collections.defaultdict(set)
