@@ -40,9 +40,9 @@ def with_rank(rows: DataFrame, name: str, rank: str, total: int) -> DataFrame:
 
 
 def listed(values: list) -> Column:
-    """The values as one array literal, in one call to the JVM however many they are."""
-    sql = {bool: lambda v: str(v).lower(), int: lambda v: f"{v}L", float: lambda v: f"{v!r}D".upper()}
-    return F.expr(f"array({', '.join(sql[type(v)](v) for v in values)})")
+    """The values (all of one type) as an array that is folded to one literal: one string to parse, however many they are."""
+    kind = {bool: "boolean", int: "bigint", float: "double"}[type(values[0])]
+    return F.split(F.lit(",".join(map(repr, values)).lower()), ",").cast(f"array<{kind}>")
 
 
 class Tree:
@@ -76,7 +76,7 @@ def grow(points: DataFrame, dims: list[str], target: float) -> tuple[Tree, dict[
     while frontier:
         of_level = set(frontier)
         now = points.withColumn("node", tree.node(dims)).where(F.get(listed([n in of_level for n in range(len(tree.dim))]), F.col("node").cast("int")))
-        stats = now.groupBy("node").agg(F.sum("weight").alias("weight"), *ends).collect()
+        stats = now.groupBy("node").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"), *ends).collect()
         if scale is None and stats:
             scale = {d: (stats[0][f"hi_{d}"] - stats[0][f"lo_{d}"]) or 1.0 for d in dims}
         chosen = {}
@@ -86,7 +86,7 @@ def grow(points: DataFrame, dims: list[str], target: float) -> tuple[Tree, dict[
             if s["weight"] <= target or lo == hi:
                 leaves[s["node"]] = s["weight"]
             else:
-                chosen[s["node"]] = (dims.index(widest), lo, hi, s["weight"])
+                chosen[s["node"]] = (dims.index(widest), lo, hi, s["weight"], s["n"])
         frontier = []
         for node, threshold in sorted(weighted_medians(now, dims, chosen, len(tree.dim)).items()):
             frontier += tree.split(node, chosen[node][0], threshold)
@@ -94,14 +94,14 @@ def grow(points: DataFrame, dims: list[str], target: float) -> tuple[Tree, dict[
     return tree, leaves
 
 
-def weighted_medians(points: DataFrame, dims: list[str], nodes: dict[int, tuple[int, float, float, int]], size: int) -> dict[int, float]:
-    """The weighted median of each node, given as (dimension, least value, greatest value, weight); node numbers are under size.
+def weighted_medians(points: DataFrame, dims: list[str], nodes: dict[int, tuple[int, float, float, int, int]], size: int) -> dict[int, float]:
+    """The weighted median of each node, given as (dimension, least value, greatest value, weight, points); node numbers are under size.
 
     Each round keeps a bin a node, the one that holds the middle, and tells its values apart once there are few.
     """
     best: dict[int, tuple[int, float]] = {}
     node = F.col("node").cast("int")
-    left = {n: (dim, lo, hi, 0, False) for n, (dim, lo, hi, _) in nodes.items()}
+    left = {n: (dim, lo, hi, 0, points <= BINS) for n, (dim, lo, hi, _, points) in nodes.items()}
     while left:
         dim, lo, hi, below, single = (F.get(listed([left.get(n, (-1, 0.0, 0.0, 0, False))[k] for n in range(size)]), node) for k in range(5))
         total = F.get(listed([nodes[n][3] if n in nodes else 0 for n in range(size)]), node)
@@ -112,7 +112,7 @@ def weighted_medians(points: DataFrame, dims: list[str], nodes: dict[int, tuple[
         upto = bins.withColumn("upto", F.sum("w").over(order) + below).withColumn("prev", F.lag("last").over(order)).where(2 * F.col("upto") >= total)
         rows = upto.groupBy("node").agg(F.min_by(F.struct("w", "n", "first", "last", "upto", "prev"), "bin").alias("b")).select("node", "b.*").collect()
         for r in rows:
-            dim, _, greatest, total = nodes[r["node"]]
+            dim, _, greatest, total, _ = nodes[r["node"]]
             for cut, weight in ((r["prev"], r["upto"] - r["w"]), (r["last"], r["upto"])):
                 if cut is not None and cut < greatest:
                     best[r["node"]] = min(best.get(r["node"], (total, greatest)), (abs(2 * weight - total), cut))
