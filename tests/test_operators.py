@@ -189,3 +189,32 @@ def test_trajectory_file(spark, tmp_path):
 
 def test_exp_of_nothing(spark):
     assert np.allclose(exp(np.zeros(3)), np.eye(3))
+
+
+def test_deskewed_points_follow_the_kernels(spark):
+    """Two sessions, two scans each, turning and speeding up: each point as the kernels move it; points and readings outside the scans don't count."""
+    from voxelflow.kernels.inertial import State, deskew, propagate
+    from voxelflow.operators.deskew import RATES, deskewed
+
+    rng = np.random.default_rng(9)
+    scans = [(s, k, 0.1 + 0.2 * k, 0.2 + 0.2 * k, 1.0 * s, 0.5, 0.0) for s in (1, 2) for k in (0, 1)] + [(3, 0, 0.0, 0.1, 0.0, 0.0, 0.0)]
+    readings = [(s, 0.01 * i, *(rng.normal(size=3) * 0.3).tolist(), *(rng.normal(size=3) + [0, 0, 9.8]).tolist()) for s in (1, 2) for i in range(60)] + [(None, 0.15, *[0.0] * 6), (1, None, *[0.0] * 6)]
+    points = [(s, float(t), i, *rng.normal(size=3).tolist()) for i, (s, t) in enumerate((s, t) for s in (1, 2, 3) for t in rng.uniform(0, 0.6, 40))] + [(1, None, 999, 0.0, 0.0, 0.0)]
+    frames = spark.createDataFrame(points, "session long, t double, id long, x double, y double, z double"), spark.createDataFrame(readings, "session long, t double, " + ", ".join(f"{c} double" for c in RATES)), spark.createDataFrame(scans, "session long, scan long, begin double, end double, vx double, vy double, vz double")
+    turn = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
+    for bucket in (None, 0.15):
+        got = {r["id"]: (r["session"], r["scan"], r["x"], r["y"], r["z"]) for r in deskewed(*frames, bucket=bucket, rotation=turn.tolist(), offset=[0.1, 0, 0]).collect()}
+        want = {}
+        for s, k, begin, end, *v in scans:
+            mine = [p for p in points if p[0] == s and p[1] is not None and begin < p[1] <= end]
+            rates = [r for r in readings if r[0] == s and r[1] is not None and r[1] <= end]
+            rates = [r for r in rates if r[1] > begin] + [max((r for r in rates if r[1] <= begin), default=None)] if rates else []
+            rates = np.array(sorted(r[1:] for r in rates if r))
+            xyz = np.array([p[3:] for p in mine]).reshape(-1, 3)
+            if len(rates) > 1 and len(mine):
+                x, poses = propagate(State(t=begin, v=np.array(v)), rates[:, 0], rates[:, 1:4], rates[:, 4:], begin, end)
+                xyz = deskew(xyz, np.array([p[1] for p in mine]), poses, x, turn, np.array([0.1, 0, 0]))
+            want |= {p[2]: (s, k, *q) for p, q in zip(mine, xyz.tolist(), strict=True)}
+        assert got.keys() == want.keys() and len(got) > 20
+        for i, w in want.items():
+            assert got[i][:2] == w[:2] and got[i][2:] == pytest.approx(w[2:], abs=1e-9)

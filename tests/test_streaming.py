@@ -59,3 +59,18 @@ def test_long_scans_are_refused_or_whole(spark):
     with pytest.raises(Exception, match="longer than 1 hour"):
         slice_stream(scans, samples, ["k"], "b", "e", "ts").collect()
     assert slice_stream(scans, samples, ["k"], "b", "e", "ts", longest="2 hours").count() == 2
+
+
+def test_voxel_map_forgets_voxels_that_are_not_seen(spark, tmp_path):
+    """Over 12 frames, each with a new voxel, the state holds the voxels of the last few seconds only."""
+    schema = "vx long, vy long, vz long, frame long, ts timestamp, n long, " + ", ".join(f"{m} double" for m in MOMENTS[1:])
+    for f in range(12):
+        rows = spark.range(1).selectExpr(f"{f}L vx", "0L vy", "0L vz", f"{f}L frame", f"timestamp'2024-01-01 00:00:00' + INTERVAL {10 * f} SECONDS ts", "10L n", *(f"CAST({k} AS DOUBLE) {m}" for k, m in enumerate(MOMENTS[1:], 1)))
+        rows.coalesce(1).write.parquet(str(tmp_path / f"in/f={f:02d}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = voxel_map(stream, size=3, most=50, time="ts", ttl="25 seconds").writeStream.format("memory").queryName("forgets").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    out = spark.table("forgets").collect()
+    gone = {r["vx"] for r in out if r["removed"]}
+    assert max(kept) <= 6 and len(gone) >= 6 and gone == set(range(len(gone))) and not any(r["active"] for r in out if r["removed"])

@@ -137,8 +137,7 @@ def register(points: DataFrame, planes: DataFrame, prior: State, size: float, la
 
     def match(x: State) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows = point_to_plane(match_planes(points, planes, x, size, layers), x.r.tolist(), x.p.tolist(), point=("bx", "by", "bz"))
-        scatter = [F.sum(F.col("n" + s[0]) * F.col("n" + s[1])).alias("c" + s) for s in SYM]
-        return _equations(rows, scatter)
+        return _equations(rows)
 
     return iterate(prior, match, max_iter, least_scatter=least_scatter)
 
@@ -160,14 +159,14 @@ def register_to_points(points: DataFrame, world: DataFrame, prior: State, cell:
         planes = local_planes(five, worst).withColumn("__len", length)
         planes = planes.select(F.col("id").alias(id_col), *((F.col("n" + a) / F.col("__len")).alias("n" + a) for a in "xyz"), (1 / F.col("__len")).alias("__d"))
         rows = stored(moved.join(planes, id_col).withColumns({"q" + a: -F.col("n" + a) * F.col("__d") for a in "xyz"}).withColumn("sigma", F.lit(0.9995)))
-        scatter = [F.sum(F.col("n" + s[0]) * F.col("n" + s[1])).alias("c" + s) for s in SYM]
-        return _equations(point_to_plane(rows, x.r.tolist(), x.p.tolist(), point=("bx", "by", "bz")), scatter)
+        return _equations(point_to_plane(rows, x.r.tolist(), x.p.tolist(), point=("bx", "by", "bz")))
 
     return iterate(prior, match, max_iter, prior_scale=1e-3)
 
 
-def _equations(rows: DataFrame, scatter: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sums = normal_equations(rows).crossJoin(rows.agg(*scatter)).first()
+def _equations(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One aggregate, so that the match runs once."""
+    sums = normal_equations(rows, more=[F.sum(F.col("n" + s[0]) * F.col("n" + s[1])).alias("c" + s) for s in SYM]).first()
     if not sums["n"]:
         return np.zeros((6, 6)), np.zeros(6), np.zeros((3, 3))
     h = np.array([[sums[f"h{min(a, b)}{max(a, b)}"] for b in range(6)] for a in range(6)])
@@ -184,19 +183,20 @@ def grouped_factors(factors: DataFrame, voxel: Sequence[str], frame: str, frames
 def bundle_adjust(grouped: DataFrame, states: list[State], deltas: Sequence[Delta] = (), max_iter: int = 10, gravity: bool = False) -> tuple[list[State], list[float]]:
     """Poses of a window from its voxels' clusters (`grouped_factors`, stored) and inertial deltas.
 
-    Partitions sum their voxels' gradients and Hessians (6 numbers a frame, and their square); the driver adds a row for
-    each partition and solves.
+    Partitions sum their voxels' gradients and Hessians (6 numbers a frame, and their square), the cluster sums those, and
+    the driver solves.
     """
     n = len(states)
 
     def terms(frames: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        parts = grouped.mapInPandas(_partial(frames, n, True), "sums array<double>").select(F.posexplode("sums").alias("at", "part"))
         total = np.zeros(1 + 6 * n + 36 * n * n)
-        for row in grouped.mapInPandas(_partial(frames, n, True), "sums array<double>").select(*(F.col("sums"),)).toLocalIterator():
-            total += np.array(row[0])
+        for at, part in parts.groupBy("at").agg(F.sum("part")).collect():  # as many rows as numbers, whatever the partitions
+            total[at] = part
         return float(total[0]), total[1 : 1 + 6 * n], total[1 + 6 * n :].reshape(6 * n, 6 * n)
 
     def cost(frames: np.ndarray) -> float:
-        return sum(row[0][0] for row in grouped.mapInPandas(_partial(frames, n, False), "sums array<double>").collect())
+        return grouped.mapInPandas(_partial(frames, n, False), "sums array<double>").agg(F.sum(F.get("sums", F.lit(0)))).first()[0] or 0.0
 
     return bundle.adjust(states, terms, cost, deltas, gravity, max_iter)
 
@@ -208,9 +208,9 @@ def _partial(frames: np.ndarray, n: int, derivatives: bool) -> Callable:
         total = None
         for pdf in batches:
             s = np.zeros((len(pdf), n, 4, 4))
-            for v, found in enumerate(pdf["clusters"]):
-                for c in found:
-                    s[v, c[next(iter(c))] if isinstance(c, dict) else c[0]] = _moment(c)
+            of = np.repeat(np.arange(len(pdf)), [len(found) for found in pdf["clusters"]])
+            flat = np.array([tuple(c.values()) if isinstance(c, dict) else tuple(c) for found in pdf["clusters"] for c in found], float).reshape(-1, 2 + 9)
+            s[of, flat[:, 0].astype(int)] = flat[:, _PLACES]
             zero, one = np.zeros((len(pdf), 4, 4)), np.ones(len(pdf))
             if derivatives:
                 c, g, h = bundle.lidar_terms(s, frames, zero, one)
@@ -224,10 +224,8 @@ def _partial(frames: np.ndarray, n: int, derivatives: bool) -> Callable:
     return run
 
 
-def _moment(c) -> np.ndarray:  # noqa: ANN001
-    v = list(c.values()) if isinstance(c, dict) else list(c)
-    n, first, (xx, xy, xz, yy, yz, zz) = v[1], v[2:5], v[5:11]
-    return np.array([[xx, xy, xz, first[0]], [xy, yy, yz, first[1]], [xz, yz, zz, first[2]], [*first, n]], float)
+#: Columns of a cluster row (frame, n, x, y, z, xx, xy, xz, yy, yz, zz) in its 4x4 moment matrix.
+_PLACES = np.array([[5, 6, 7, 2], [6, 8, 9, 3], [7, 9, 10, 4], [2, 3, 4, 1]])
 
 
 def initialise(grouped_of: Callable[[list[State]], DataFrame], states: list[State], deltas: Sequence[Delta], rounds: int = 10, steps: int = 3, tol: float = 0.01, gravity: tuple[float, float] = (9.6, 10.0)) -> tuple[list[State], bool]:

@@ -40,12 +40,12 @@ def local_planes(neighbours: DataFrame, worst: float = 0.1, least_det: float = 1
     return neighbours.join(solved, key).groupBy(key, "nx", "ny", "nz").agg(F.round(F.max(off), 6).alias("worst")).where(F.col("worst") <= worst)
 
 
-def normal_equations(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """h00 to h55 (upper triangle of sum w j j^T), g0 to g5 (-sum w j r), cost and n: 29 sums, combined before the shuffle."""
+def normal_equations(rows: DataFrame, keys: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
+    """h00 to h55 (upper triangle of sum w j j^T), g0 to g5 (-sum w j r), cost and n: 29 sums, combined before the shuffle; more: further aggregates."""
     w, r, j = F.col("weight"), F.col("residual"), [F.col(c) for c in JACOBIAN]
     sums = [F.sum(w * j[a] * j[b]).alias(f"h{a}{b}") for a in range(6) for b in range(a, 6)]
     sums += [(-F.sum(w * j[a] * r)).alias(f"g{a}") for a in range(6)]
-    return rows.groupBy(*keys).agg(*sums, F.sum(w * r * r).alias("cost"), F.count("*").alias("n"))
+    return rows.groupBy(*keys).agg(*sums, F.sum(w * r * r).alias("cost"), F.count("*").alias("n"), *more)
 
 
 def degeneracy(matched: DataFrame, keys: Sequence[str] = (), normal: Sequence[str] = ("nx", "ny", "nz"), least: float = 14.0, digits: int = 6) -> DataFrame:

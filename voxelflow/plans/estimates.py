@@ -12,6 +12,7 @@ from ..functions.voxel import voxel_key
 from ..kernels.inertial import State
 from ..kernels.rotation import exp
 from ..operators import clusters, estimation, octree
+from ..operators.deskew import deskewed
 from ..operators.state import stored
 from ..sources.tables import cloud, readings
 from .sensor import DIGITS, LAYERS, LEAST, RATIO, SIZE, THIN, planes_of, query
@@ -31,6 +32,17 @@ def preintegrate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("session", r6(F.col("dt")).alias("dt"), *(r6(value(k)).alias(f"r{k // 3}{k % 3}") for k in range(9)), *(r6(value(9 + k), 3).alias("p" + a) for k, a in enumerate("xyz")), *(r6(value(12 + k), 4).alias("v" + a) for k, a in enumerate("xyz")))
 
 
+@query
+def deskew_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as points, moved by each session's readings to the end of their scan; a scan is 500 units of time of a session."""
+    rates = inertial_readings(spark, sf_dir)
+    points = readings(spark, sf_dir).where("kind = 'view'").select("session", ((F.col("us") - 1704067200000000) / 1e9).alias("t"), "id", (F.col("value") / 10 - 5).alias("x"), F.sin("id").alias("y"), F.cos("id").alias("z"))
+    turn = F.floor(F.col("t") / 500).cast("long")
+    scans = points.select("session", turn.alias("scan")).distinct().select("session", "scan", (F.col("scan") * 500.0).alias("begin"), (F.col("scan") * 500.0 + 500.0).alias("end"))
+    moved = deskewed(points, rates, scans, bucket=500.0)
+    return moved.select("session", "scan", "id", *(r6(F.col(c), 3).alias(c) for c in "xyz"))
+
+
 @query
 def plane_variance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planes of the whole voxels with the variance of their normals and centres, from each point's noise."""

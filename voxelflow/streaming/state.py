@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clusters import MOMENTS
 
-VOXEL = "vx long, vy long, vz long, frame long, n long, n_fixed long, n_window long, active boolean, l0 double, l1 double, l2 double"
+VOXEL = "vx long, vy long, vz long, frame long, n long, n_fixed long, n_window long, active boolean, removed boolean, l0 double, l1 double, l2 double"
 _STATE = "fixed array<double>, frames array<long>, window array<double>"
 
 
@@ -50,21 +50,36 @@ def marginalise(fixed: np.ndarray, frames: list[int], window: np.ndarray, now: i
     return fixed, [frames[k] for k in keep], window[keep] if keep else np.zeros((0, len(MOMENTS)))
 
 
-def voxel_map(clusters: DataFrame, size: int = 10, most: int = 100) -> DataFrame:
+def voxel_map(clusters: DataFrame, size: int = 10, most: int = 100, time: str | None = None, ttl: str = "60 seconds") -> DataFrame:
     """A stream of frame clusters (vx, vy, vz, frame, MOMENTS) to the changes of the voxel map (VOXEL), a row for each voxel and batch that touches it.
 
     State is kept by voxel: the fixed moments, and those of the frames in its window. A voxel is active while its window
-    has points. The window moves with the voxel's own frames.
+    has points. The window moves with the voxel's own frames. With an event-time column `time`, the clock is that of all voxels: once the
+    watermark passes a voxel's last time by `ttl`, its state is removed and a row with `removed` tells of it, so that state is bounded by the
+    voxels of the last `ttl` and not by the whole path. A voxel that comes again starts anew.
     """
+    from pyspark.sql import SparkSession
+
+    seconds = 0.0
+    if time:
+        seconds = SparkSession.active().range(1).select(F.expr(f"CAST(unix_millis(TIMESTAMP '2000-01-01' + INTERVAL {ttl}) - unix_millis(TIMESTAMP '2000-01-01') AS DOUBLE)")).first()[0]
+        clusters = as_event_time(clusters, time).withWatermark(time, "0 seconds")
 
     def update(key: tuple, batches: Iterator, state) -> Iterator:  # noqa: ANN001
         import pandas as pd
 
         fixed, frames, window = np.zeros(len(MOMENTS)), [], np.zeros((0, len(MOMENTS)))
+        names = ["vx", "vy", "vz", "frame", "n", "n_fixed", "n_window", "active", "removed", "l0", "l1", "l2"]
+        if state.hasTimedOut:
+            last = max(state.get[1], default=-1)
+            state.remove()
+            yield pd.DataFrame([[*key, last, 0, 0, 0, False, True, 0.0, 0.0, 0.0]], columns=names)
+            return
         if state.exists:
             f, frames, w = state.get
             fixed, frames, window = np.array(f), list(frames), np.array(w).reshape(-1, len(MOMENTS))
-        rows = pd.concat(list(batches)).groupby("frame")[list(MOMENTS)].sum().sort_index()
+        every = pd.concat(list(batches))
+        rows = every.groupby("frame")[list(MOMENTS)].sum().sort_index()
         for frame, row in rows.iterrows():
             if frame in frames:
                 window[frames.index(frame)] += row.to_numpy(float)
@@ -77,6 +92,9 @@ def voxel_map(clusters: DataFrame, size: int = 10, most: int = 100) -> DataFrame
         c = np.array([[second[0], second[1], second[2]], [second[1], second[3], second[4]], [second[2], second[4], second[5]]]) - np.outer(v, v)
         values = np.linalg.eigvalsh(c)
         state.update((fixed.tolist(), frames, window.ravel().tolist()))
-        yield pd.DataFrame([[*key, max(frames, default=-1), int(total[0]), int(fixed[0]), int(window[:, 0].sum()), bool(window[:, 0].sum() > 0), *values]], columns=["vx", "vy", "vz", "frame", "n", "n_fixed", "n_window", "active", "l0", "l1", "l2"])
+        if time:
+            latest = int(every[time].max().timestamp() * 1000 + seconds)
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([[*key, max(frames, default=-1), int(total[0]), int(fixed[0]), int(window[:, 0].sum()), bool(window[:, 0].sum() > 0), False, *values]], columns=names)
 
-    return clusters.groupBy("vx", "vy", "vz").applyInPandasWithState(update, VOXEL, _STATE, "update", "NoTimeout")
+    return clusters.groupBy("vx", "vy", "vz").applyInPandasWithState(update, VOXEL, _STATE, "update", "EventTimeTimeout" if time else "NoTimeout")
