@@ -4,12 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelflow.functions import so3
+from voxelflow.functions.covariance import with_body_covariance
 from voxelflow.functions.eigen import with_eigenvalues, with_normals
 from voxelflow.functions.vectors import SYM
 from voxelflow.functions.voxel import voxel_key
 from voxelflow.kernels.inertial import State, preintegrate
 from voxelflow.kernels.rotation import exp
-from voxelflow.operators import clusters, downsample, estimation, inertial, joins, lifecycle
+from voxelflow.operators import clusters, downsample, estimation, inertial, joins, lifecycle, points, residuals
 from voxelflow.sources import lidar
 from voxelflow.sources.config import Config
 from voxelflow.sources.sinks import write_tum
@@ -218,3 +220,49 @@ def test_deskewed_points_follow_the_kernels(spark):
         assert got.keys() == want.keys() and len(got) > 20
         for i, w in want.items():
             assert got[i][:2] == w[:2] and got[i][2:] == pytest.approx(w[2:], abs=1e-9)
+
+
+def test_jet_colours_at_knots_beyond_the_range_and_null(spark):
+    df = spark.createDataFrame([(0, -1.0), (1, 0.0), (2, 0.1242), (3, 0.25), (4, 0.5), (5, 0.8758), (6, 1.0), (7, 9.0), (8, None)], "i int, v double")
+    got = [tuple(r) for r in df.select("i", *points.jet_colour(F.col("v"), 0.0, 1.0)).orderBy("i").select("red", "green", "blue").collect()]
+    assert got == [(0, 0, 128), (0, 0, 128), (0, 0, 255), (0, 128, 255), (127, 255, 127), (255, 0, 0), (128, 0, 0), (128, 0, 0), (None, None, None)]
+
+
+def test_markers_with_one_id_are_one_row_with_their_count(spark):
+    rows = [(0.05, 0.05, 0.05, 0), (0.05, 0.05, 0.05, 0), (0.05, 0.05, 0.05, 1), (-0.05, 0.05, 0.05, 0)]
+    df = spark.createDataFrame(rows, "x double, y double, z double, layer int")
+    ids = points.unique_markers(df.select(points.marker_id([F.col(c) for c in "xyz"], F.col("layer")).alias("id"), "x"))
+    plain = [abs(round(x * 1000) * 73856093 ^ 50 * 19349663 ^ 50 * 83492791 ^ layer * 2654435761) & 0x7FFFFFFF for x, _, _, layer in rows]
+    assert sorted((r.id, r.nodes) for r in ids.collect()) == sorted((i, plain.count(i)) for i in set(plain))
+
+
+def test_sensor_noise_keeps_its_trace_when_turned(spark):
+    turn, shift = so3.euler(0.1, -0.2, 0.3), (1.0, 2.0, 3.0)
+    df = spark.createDataFrame([(1.0, 2.0, 3.0), (4.0, -1.0, 0.0)], "x double, y double, z double")
+    before = with_body_covariance(df, 0.02, 0.05).selectExpr("vxx + vyy + vzz AS t").collect()
+    after = points.into_body(df, turn, shift, 0.02, 0.05).selectExpr("vxx + vyy + vzz AS t").collect()
+    assert [r.t for r in after] == pytest.approx([r.t for r in before])
+
+
+def test_a_tick_removes_the_longest_untouched(spark):
+    df = spark.createDataFrame([(k, float(k // 2)) for k in range(10)], "vx long, travelled double")
+    stay, gone = lifecycle.evict_some(df, 1000.0, ["vx"], most=3, limit=998.0)
+    assert sorted(r.vx for r in gone.collect()) == [0, 1, 2] and sorted(r.vx for r in stay.collect()) == list(range(3, 10))
+
+
+def test_a_revised_path_changes_only_the_window(spark):
+    path = spark.createDataFrame([(1, 0.0, "a"), (2, 1.0, "b"), (3, None, "c")], "frame int, x double, note string")
+    new = spark.createDataFrame([(2, 5.0), (3, None), (9, 7.0)], "frame int, x double")
+    assert sorted(map(tuple, lifecycle.revised(path, new, values=["x"]).collect())) == [(1, 0.0, "a"), (2, 5.0, "b"), (3, None, "c")]
+
+
+def test_epochs_and_late_scans(spark):
+    df = spark.createDataFrame([(1, 0.0, 1.0, False), (1, 0.995, 2.0, True), (1, 1.5, 1.6, False), (1, 2.0, 2.1, True), (2, 0.0, 1.0, False)], "s int, begin double, end double, reset boolean")
+    rows = lifecycle.in_order(lifecycle.epochs(df, F.col("reset"), ["s"], ["begin"]), ["s"], ["begin"]).orderBy("s", "begin").collect()
+    assert [r.epoch for r in rows] == [0, 1, 1, 2, 0] and [r.late for r in rows] == [False, False, True, False, False]
+    assert lifecycle.in_order(df.limit(0), ["s"], ["begin"]).count() == 0
+
+
+def test_cost_by_family(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 4.0)], "family string, l0 double")
+    assert sorted(map(tuple, residuals.cost_breakdown(df, "family", weight=0.5).collect())) == [("a", 2, 1.5), ("b", 1, 2.0)]

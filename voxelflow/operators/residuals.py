@@ -74,5 +74,7 @@ def bundle_residual(factors: DataFrame, poses: DataFrame, voxel: Sequence[str],
     return with_eigenvalues(total.withColumns(cov)).select(*voxel, "n", "l0", "l1", "l2")
 
 
-def weighted_cost(residuals: DataFrame, weight: Column | float = 1.0) -> DataFrame:
-    return residuals.agg(F.sum(F.col("l0") * (weight if isinstance(weight, Column) else F.lit(weight))).alias("cost"), F.count("*").alias("n"))
+def cost_breakdown(residuals: DataFrame, family: str, cost: str = "l0", weight: Column | float = 1.0) -> DataFrame:
+    """family, n and its weighted cost: what each kind of factor adds to the whole."""
+    weight = weight if isinstance(weight, Column) else F.lit(weight)
+    return residuals.groupBy(family).agg(F.count("*").alias("n"), F.sum(F.col(cost) * weight).alias("cost"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import pi, radians, sin
 
+from ..operators import points
 from .sensor import DIGITS, LAYERS, LEAST, RATIO, SHIFT, SIZE, THIN, TURN
 
 SYM = ("xx", "xy", "xz", "yy", "yz", "zz")
@@ -160,6 +161,13 @@ def _downsampled(source: str, size: float, by: str = "", order: str = "i, scan,
     return f"SELECT {by}{_V}, count(*) AS n, first(intensity ORDER BY {order}) AS intensity, {', '.join(f'{r(f"avg({a})")} AS {a}' for a in 'xyz')} FROM (SELECT *, {keys(size)} FROM {source}) GROUP BY {by}{_V}"
 
 
+def _jet() -> str:
+    """Colours of v by the straight lines between the fixed knots."""
+    at, heights = points.JET_KNOTS, {"red": points.JET_RED, "green": points.JET_GREEN, "blue": points.JET_BLUE}
+    line = lambda h, k: f"{h[k]} + (v - {at[k]}) * {(h[k + 1] - h[k]) / (at[k + 1] - at[k])!r}"
+    return ", ".join(f"CAST(floor(255 * greatest(0.0, least(1.0, CAST(CASE {' '.join(f'WHEN v < {at[k + 1]} THEN {line(h, k)}' for k in range(5))} ELSE {h[5]} END AS DOUBLE)))) AS INT) AS {c}" for c, h in heights.items())
+
+
 def _exp(factor: float) -> str:
     w = {a: f"({a} * {factor})" if factor != 1 else a for a in "xyz"}
     names = {"x": "kx", "y": "ky", "z": "kz"}
@@ -187,7 +195,12 @@ ORACLES: dict[str, str] = {
     "range_filter": f"WITH {CLOUD} SELECT scan, i, pk, sk, x, y, z FROM cloud WHERE x * x + y * y + z * z > 2.25",
     "decimate": f"WITH {CLOUD} SELECT scan, i, pk, sk FROM cloud WHERE i % 3 = 0",
     "inside_box": f"WITH {CLOUD} SELECT scan, i, pk, sk FROM cloud WHERE x BETWEEN -0.5 AND 1.5 AND y BETWEEN -1 AND 1 AND z BETWEEN -1.5 AND 0.5",
-    "display_colours": f"WITH {CLOUD}, v AS (SELECT *, intensity / 255.0 AS v FROM cloud WHERE i % 3 = 0) SELECT scan, i, pk, sk, " + ", ".join(f"CAST(round(255 * greatest(0.0, least(1.0, 1.5 - abs(4 * v - {at})))) AS INT) AS {c}" for c, at in (("red", 3.0), ("green", 2.0), ("blue", 1.0))) + " FROM v",
+    "display_colours": f"WITH {CLOUD}, v AS (SELECT *, intensity / 255.0 AS v FROM cloud WHERE i % 3 = 0) SELECT scan, i, pk, sk, {_jet()} FROM v",
+    "voxel_markers": f"""WITH {CLOUD}, h AS (SELECT {_V}, CAST(count(*) AS DOUBLE) AS n FROM (SELECT {keys(0.1)} FROM cloud) GROUP BY {_V}),
+m AS (SELECT *, {', '.join(f'CAST(round((CAST(v{a} AS DOUBLE) + 0.5) * 0.1 * 1000) AS BIGINT) AS i{a}, {r(f"(CAST(v{a} AS DOUBLE) + 0.5) * 0.1")} AS {a}' for a in 'xyz')}, greatest(0.0, least(1.0, (n - 1) / 15)) AS v FROM h)
+SELECT CAST(abs(xor(xor(ix * 73856093, iy * 19349663), iz * 83492791)) & 2147483647 AS INT) AS id, count(*) OVER (PARTITION BY id) AS nodes, x, y, z, {_jet()} FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY x, y, z) = 1""",
+    "sensor_to_body": f"WITH {CLOUD}, {with_variance('v', 'cloud')} SELECT scan, i, pk, sk, CAST(sk % 256 AS DOUBLE) AS intensity, " + ", ".join(f"{r(turned(k))} AS {a}" for k, a in enumerate("xyz")) + ", "
+    + ", ".join(r(" + ".join(f"({TURN['xyz'.index(s[0])][a] * TURN['xyz'.index(s[1])][b]!r}) * v{''.join(sorted('xyz'[a] + 'xyz'[b]))}" for a in range(3) for b in range(3)), 9) + f" AS v{s}" for s in SYM) + " FROM v",
     **{"decode_" + k: _decode(k) for k in ("livox", "velodyne", "ouster", "hesai", "robosense", "xyz")},
     "scan_points": f"""WITH {CLOUD}, p AS (SELECT scan AS scan_id, i, x, y, z, intensity, offset_ns * 1e-9 AS t_off FROM cloud WHERE i % 3 = 0 AND x * x + y * y + z * z > 2.2 * 2.2),
 e AS (SELECT s.scan_id, t.i, 0.0 AS x, 0.0 AS y, 0.0 AS z, 0.0 AS intensity, t.t_off FROM (SELECT unnest(range(0, 12)) AS scan_id) s, (VALUES (0, 0.0), (1, 0.09)) t(i, t_off) WHERE s.scan_id NOT IN (SELECT scan_id FROM p))
@@ -267,9 +280,16 @@ m AS (SELECT id, {', '.join(f'sum({s[0]} * {s[1]}) AS {s}' for s in SYM)}, sum(x
 v AS (SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM m),
 n AS (SELECT id, -(a * (yy * zz - yz * yz) + b * (xz * yz - xy * zz) + c * (xy * yz - xz * yy)) / det AS nx, -(a * (xz * yz - xy * zz) + b * (xx * zz - xz * xz) + c * (xy * xz - xx * yz)) / det AS ny, -(a * (xy * yz - xz * yy) + b * (xy * xz - xx * yz) + c * (xx * yy - xy * xy)) / det AS nz FROM v WHERE abs(det) > 1e-3)
 SELECT id, {', '.join(f"{r(f'any_value({n})', 4)} AS {n}" for n in ('nx', 'ny', 'nz'))}, {r('round(max(abs(nx * x + ny * y + nz * z + 1)), 6)', 4)} AS worst FROM f JOIN n USING (id) GROUP BY id HAVING round(max(abs(nx * x + ny * y + nz * z + 1)), 6) <= 0.1""",
+    "evict_some": f"""WITH {CLOUD}, s AS (SELECT {_V}, CAST(max(pk) AS DOUBLE) AS travelled FROM (SELECT pk, {keys(0.1)} FROM cloud) GROUP BY {_V}),
+g AS (SELECT * FROM s WHERE (SELECT max(pk) FROM cloud) - travelled >= 100 ORDER BY travelled, {_V} LIMIT 1000) SELECT * FROM s EXCEPT SELECT * FROM g""",
+    "path_revised": f"WITH {EVENTS}, m AS (SELECT *, CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END AS moved FROM ev) SELECT id, session, {r('value + 0.25 * moved')} AS x, {r('value / 7 - 0.5 * moved')} AS y, {r('1.0 * moved')} AS z FROM m",
+    "session_epochs": f"WITH {EVENTS}, e AS (SELECT *, CAST(sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM ev) SELECT session, epoch, count(*) AS n, {r('sum(value)')} AS total FROM e GROUP BY session, epoch",
+    "late_scans": f"WITH {EVENTS}, s AS (SELECT *, us + CAST(trunc(value * 1e7) AS BIGINT) AS until FROM ev) SELECT session, id, coalesce(us < max(until) OVER (PARTITION BY session ORDER BY us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 10000, FALSE) AS late FROM s",
     "ttl_evict": f"WITH {CLOUD}, s AS (SELECT {_V}, CAST(max(pk) AS DOUBLE) AS travelled FROM (SELECT pk, {keys(0.1)} FROM cloud) GROUP BY {_V}) SELECT * FROM s WHERE (SELECT max(pk) FROM cloud) - travelled < 700",
     "plane_changelog": f"""WITH {CLOUD}, {octree('a', '(SELECT x, y, z FROM cloud WHERE scan = 1)', 0.5, 0, THIN, RATIO, [5])}, {octree('b', '(SELECT x, y, z FROM cloud WHERE scan = 2)', 0.5, 0, THIN, RATIO, [5])},
 o AS (SELECT {_V}, n AS was FROM a WHERE is_plane), w AS (SELECT {_V}, n FROM b WHERE is_plane)
 SELECT {_V}, CASE WHEN was IS NULL THEN 'ADD' WHEN n IS NULL THEN 'DELETE' ELSE 'MODIFY' END AS op, n FROM o FULL JOIN w USING ({_V}) WHERE was IS NULL OR n IS NULL OR n <> was""",
     "tum_export": f"WITH {EVENTS} SELECT id, printf('%.9f %.9f %.9f %.9f %.9f %.9f %.9f %.9f', (us - 1704067200000000) / 1e6, value, value / 7, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE) AS line FROM ev",
 }
+
+ORACLES["cost_breakdown"] = f"SELECT CASE WHEN l0 < {THIN} THEN 'thin' ELSE 'thick' END AS family, count(*) AS n, {r('sum(l0)')} AS cost FROM ({ORACLES['bundle_residual']}) GROUP BY family"

@@ -77,6 +77,22 @@ def display_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select(*ID, *points.jet_colour(F.col("intensity"), 0.0, 255.0))
 
 
+@query
+def voxel_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marker ids of the voxels, each with the number of voxels that have it, and the place and colour (by its points) of the least of them."""
+    held = cloud(spark, sf_dir).groupBy(*voxel_key([F.col(c) for c in XYZ], 0.1)).agg(F.count("*").alias("n"))
+    centre = [(F.col("v" + a) + 0.5) * F.lit(0.1) for a in XYZ]
+    shown = held.select(points.marker_id(centre, F.lit(0)).alias("id"), *(r6(c).alias(a) for a, c in zip(XYZ, centre, strict=True)), *points.jet_colour(F.col("n").cast("double"), 1.0, 16.0))
+    return points.unique_markers(shown)
+
+
+@query
+def sensor_to_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points and their covariances by the sensor's extrinsic."""
+    body = points.into_body(cloud(spark, sf_dir), TURN, SHIFT, 0.02, 0.05)
+    return body.select(*ID, "intensity", *(r6(F.col(c)).alias(c) for c in XYZ), *(r6(F.col("v" + c), 9).alias("v" + c) for c in SYM))
+
+
 def _decoded(kind: str, every: int = 3, blind: float = 1.5) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = lidar.decode(raw_scans(spark, sf_dir), kind, every, blind)
@@ -352,6 +368,13 @@ def bundle_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(residuals.bundle_residual(factors, poses, ["vx", "vy", "vz"], digits=DIGITS), ["vx", "vy", "vz", "n"], ["l0", "l1", "l2"])
 
 
+@query
+def cost_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What thin and thick voxels add to the cost over the frames."""
+    each = bundle_residual(spark, sf_dir).withColumn("family", F.when(F.col("l0") < THIN, "thin").otherwise("thick"))
+    return rounded(residuals.cost_breakdown(each, "family"), ["family", "n"], ["cost"])
+
+
 @query
 def neighbour_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each point, the best of the voxel means around it by a Gaussian likelihood, and how many there are."""
@@ -395,12 +418,45 @@ def knn5_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.select("id", *(r6(F.col(n), 4).alias(n) for n in ("nx", "ny", "nz")), r6(F.col("worst"), 4).alias("worst"))
 
 
-@query
-def ttl_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voxels touched within the last 700 m, a point's part key standing for the distance travelled when it came."""
+def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels and when they were last touched, a point's part key standing for the distance travelled when it came, beside the distance now (one row)."""
     seen = cloud(spark, sf_dir).select(*voxel_key([F.col(c) for c in XYZ], 0.1), F.col("pk").cast("double").alias("travelled")).groupBy("vx", "vy", "vz").agg(F.max("travelled").alias("travelled"))
     now = cloud(spark, sf_dir).agg(F.max("pk").cast("double").alias("now"))
-    return lifecycle.evict(seen.crossJoin(F.broadcast(now)), F.col("now"), limit=700.0).select("vx", "vy", "vz", "travelled")
+    return seen.crossJoin(F.broadcast(now))
+
+
+@query
+def ttl_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels touched within the last 700 m."""
+    return lifecycle.evict(_touched(spark, sf_dir), F.col("now"), limit=700.0).select("vx", "vy", "vz", "travelled")
+
+
+@query
+def evict_some(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The voxels left after a tick that removes at most 1,000 of those untouched for 100 m."""
+    return lifecycle.evict_some(_touched(spark, sf_dir), F.col("now"), ["vx", "vy", "vz"], limit=100.0)[0].select("vx", "vy", "vz", "travelled")
+
+
+@query
+def path_revised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading as a pose, those of purchases moved as an adjusted window would move them."""
+    path = readings(spark, sf_dir).select("id", "session", "kind", F.col("value").alias("x"), (F.col("value") / 7).alias("y"), F.lit(0.0).alias("z"))
+    window = path.where("kind = 'purchase'").select("id", (F.col("x") + 0.25).alias("x"), (F.col("y") - 0.5).alias("y"), F.lit(1.0).alias("z"))
+    return rounded(lifecycle.revised(path, window, "id"), ["id", "session"], XYZ)
+
+
+@query
+def session_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings and sums by session and epoch; each error resets the session."""
+    every = lifecycle.epochs(readings(spark, sf_dir), F.col("kind") == "error", ["session"], ["us", "id"])
+    return every.groupBy("session", "epoch").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
+
+
+@query
+def late_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings as scans of a length of their own, and whether each begins before an earlier one of its session ends."""
+    scans = readings(spark, sf_dir).select("session", "id", "us", F.col("us").alias("begin"), (F.col("us") + (F.col("value") * 1e7).cast("long")).alias("end"))
+    return lifecycle.in_order(scans, ["session"], ["us", "id"], tolerance=10_000).select("session", "id", "late")
 
 
 @query
