@@ -11,17 +11,26 @@ from pyspark.sql import functions as F
 from .vectors import SYM, SYM_AT, dot, hat, sandwich, symmetric
 
 
-def with_body_covariance(df: DataFrame, range_error: float, beam_degrees: float, point: Sequence[str] = ("x", "y", "z"), prefix: str = "v") -> DataFrame:
-    """df with prefix + xx, ...: range noise along the beam, and bearing noise across it, which grows with the range. A height of 0 becomes 1e-4 first.
+def beam_covariance(p: Sequence[Column], range_error: float, beam_degrees: float) -> list[Column]:
+    """xx, xy, ... of a point's noise: range noise along the beam, and bearing noise across it, which grows with the range.
 
     With d the beam's direction, any two unit vectors across it and each other add up to I - d d^T, so no basis is built:
-    V = range_error^2 d d^T + r^2 sin^2(beam) (I - d d^T), and r^2 d d^T = p p^T.
+    V = range_error^2 d d^T + r^2 sin^2(beam) (I - d d^T), and r^2 d d^T = p p^T. It follows the point: that of R p is R V R^T.
     """
-    df = df.withColumn(point[2], F.when(F.col(point[2]) == 0, F.lit(1e-4)).otherwise(F.col(point[2])))
-    p, bearing = [F.col(n) for n in point], sin(radians(beam_degrees)) ** 2
+    bearing = sin(radians(beam_degrees)) ** 2
     along = F.lit(range_error**2) / dot(p, p) - F.lit(bearing)
-    entry = lambda i, j: p[i] * p[j] * along + (F.lit(bearing) * dot(p, p) if i == j else F.lit(0.0))
-    return df.withColumns({prefix + n: entry(i, j) for n, (i, j) in zip(SYM, SYM_AT, strict=True)})
+    return [p[i] * p[j] * along + (F.lit(bearing) * dot(p, p) if i == j else F.lit(0.0)) for i, j in SYM_AT]
+
+
+def off_ground(z: str) -> Column:
+    """A height, 1e-4 in place of 0."""
+    return F.when(F.col(z) == 0, F.lit(1e-4)).otherwise(F.col(z))
+
+
+def with_body_covariance(df: DataFrame, range_error: float, beam_degrees: float, point: Sequence[str] = ("x", "y", "z"), prefix: str = "v") -> DataFrame:
+    """df with prefix + xx, ..., each point's noise (`beam_covariance`). A height of 0 becomes 1e-4 first."""
+    df = df.withColumn(point[2], off_ground(point[2]))
+    return df.withColumns({prefix + n: v for n, v in zip(SYM, beam_covariance([F.col(n) for n in point], range_error, beam_degrees), strict=True)})
 
 
 def world_covariance(rotation: Sequence[Sequence], rot_var: Sequence[Sequence[Column]], pos_var: Sequence[Sequence[Column]], point: Sequence[Column], prefix: str = "v") -> list[Column]:

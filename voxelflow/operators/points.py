@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.covariance import with_body_covariance
-from ..functions.vectors import SYM, SYM_AT, apply, sandwich, symmetric
+from ..functions.covariance import beam_covariance, off_ground
+from ..functions.vectors import SYM, apply
 
 
 def range_filter(points: DataFrame, blind: float) -> DataFrame:
@@ -75,7 +75,7 @@ def unique_markers(markers: DataFrame, key: str = "id") -> DataFrame:
 
 def into_body(points: DataFrame, rotation: Sequence[Sequence], shift: Sequence, range_error: float, beam_degrees: float, prefix: str = "v") -> DataFrame:
     """Points and their noise covariances (prefix + xx, ...) moved from the sensor into the body by its extrinsic R, t; other columns stay."""
-    noisy = with_body_covariance(points, range_error, beam_degrees, prefix=prefix)
-    turned = sandwich(rotation, symmetric(prefix))
-    noisy = noisy.withColumns({prefix + s: turned[i][j] for s, (i, j) in zip(SYM, SYM_AT, strict=True)})
-    return rigid_transform(noisy, rotation, shift)
+    turned = rigid_transform(points.withColumn("z", off_ground("z")), rotation, (0.0, 0.0, 0.0))
+    noise = beam_covariance([F.col(c) for c in "xyz"], range_error, beam_degrees)  # of the turned beam: the same as turning the noise
+    lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    return turned.withColumns({prefix + s: v for s, v in zip(SYM, noise, strict=True)} | {c: F.col(c) + lit(t) for c, t in zip("xyz", shift, strict=True)})
