@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.voxel import voxel_key
-from .state import stored
+from .nearest import knn as knn
 
 KEY = ("vx", "vy", "vz")
 
@@ -77,34 +77,3 @@ def neighbour27(points: DataFrame, cells: DataFrame, size: float) -> DataFrame:
     spread = keyed.withColumn("__o", F.explode(neighbour_offsets()))
     spread = spread.select(*keyed.columns, *((F.col(p) + F.col("__o." + o)).alias(v) for p, o, v in zip(("px", "py", "pz"), "abc", KEY, strict=True)))
     return spread.join(cells, list(KEY))
-
-
-def knn(queries: DataFrame, base: DataFrame, k: int, size: float, id_col: str = "id", same: bool = False, max_rounds: int = 12) -> DataFrame:
-    """The k nearest base points of each query: (id, near, d2, rank), ties by id; exact.
-
-    Candidates come from the 27 voxels around the query. What has k of them within one voxel's size is settled; the rest
-    goes round again with voxels four times as large, and after max_rounds is compared with all. same: a point may be its own.
-    """
-    left = queries.select(F.col(id_col).alias("id"), "x", "y", "z")
-    right = base.select(F.col(id_col).alias("near"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
-    d2 = sum(((F.col(c) - F.col("b" + c)) * (F.col(c) - F.col("b" + c)) for c in "yz"), (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "near"))
-    settled, wanted = None, min(k, max(0, base.count() - (0 if same else 1)))
-    for r in range(max_rounds + 1):
-        if r < max_rounds:
-            cells = right.select("*", *voxel_key([F.col("b" + c) for c in "xyz"], size))
-            pairs = neighbour27(left, cells, size)
-        else:
-            pairs = left.crossJoin(right)
-        pairs = pairs.where("id <> near") if not same else pairs
-        best = pairs.select("id", "near", d2.alias("d2")).withColumn("rank", rank).where(F.col("rank") <= k)
-        if r < max_rounds:
-            best = stored(best)  # a round's plan would otherwise hold those before it twice
-            full = best.where((F.col("rank") == wanted) & (F.col("d2") <= size * size)).select("id")
-            best = best.join(full, "id", "left_semi")
-            left = stored(left.join(full, "id", "left_anti"))
-        settled = best if settled is None else settled.unionByName(best)
-        if r < max_rounds and left.isEmpty():
-            break
-        size *= 4
-    return settled
