@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from voxelflow.kernels import nearest
-from voxelflow.operators import joins
+from voxelflow.operators import joins, residuals
 from voxelflow.operators import nearest as spread
 from voxelflow.plans.oracles import ORACLES
 from voxelflow.plans.registry import QUERIES
@@ -94,3 +94,22 @@ def test_odd_rows_as_in_sql(spark, tmp_path, many):
         found = con.execute(ORACLES[name])
         names = [c[0] for c in found.description]
         assert sorted(map(repr, map(tuple, QUERIES[name](spark, str(tmp_path)).select(*names).collect()))) == sorted(map(repr, found.fetchall()))
+
+
+def test_planes_round_as_in_sql(spark):
+    """Scale 0.1 has ties in the fourth digit of worst."""
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    found = con.execute(ORACLES["knn5_plane"])
+    names = [c[0] for c in found.description]
+    assert sorted(map(tuple, QUERIES["knn5_plane"](spark, sf).select(*names).collect())) == sorted(found.fetchall())
+
+
+def test_planes_shuffle_their_points_once(spark):
+    rng = np.random.default_rng(7)
+    n = 20_000
+    df = spark.createDataFrame(pa.table({"id": np.tile(np.arange(n), 5), **dict(zip("xyz", rng.normal(size=(3, 5 * n)), strict=True))}).to_pandas(), POINT)
+    _, last = moved(spark)
+    assert residuals.local_planes(df, worst=1e9).count() > 0.9 * n
+    assert moved(spark, last)[0] < 60 * 5 * n

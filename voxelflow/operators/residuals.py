@@ -27,6 +27,7 @@ def point_to_plane(matched: DataFrame, rotation: Sequence[Sequence], shift: Sequ
 def local_planes(neighbours: DataFrame, worst: float = 0.1, least_det: float = 1e-3, key: str = "id") -> DataFrame:
     """key, nx, ny, nz and worst: the plane n . a = -1 through each key's neighbours a (x, y, z), by 3x3 normal equations; left out if they don't fix it or one of them is off by over `worst`."""
     s = {m: F.sum(F.col(m[0]) * F.col(m[1])) for m in SYM} | {a: F.sum(a) for a in "xyz"}
+    neighbours = neighbours.select(key, *"xyz").repartition(key)  # once for all three steps; partial sums would be larger than the points
     sums = neighbours.groupBy(key).agg(*(c.alias("s" + k) for k, c in s.items()))
     m = [[F.col("s" + "".join(sorted(a + b))) for b in "xyz"] for a in "xyz"]
     right = [-F.col("s" + a) for a in "xyz"]

@@ -415,7 +415,8 @@ def knn5_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine = small_cloud(spark, sf_dir)
     five = joins.knn(mine, mine, 5, 1.0).select("id", "near").join(mine.select(F.col("id").alias("near"), *XYZ), "near")
     fit = residuals.local_planes(five)
-    return fit.select("id", *(r6(F.col(n), 4).alias(n) for n in ("nx", "ny", "nz")), r6(F.col("worst"), 4).alias("worst"))
+    worst = F.round(F.col("worst") * 1e4) / 1e4  # six digits before, so ties of four are common; SQL breaks them by the product
+    return fit.select("id", *(r6(F.col(n), 4).alias(n) for n in ("nx", "ny", "nz")), worst.alias("worst"))
 
 
 def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
